@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_terms"]
+MODULES = ["q_terms", "q_authors"]
 
 
 def all_queries():
