@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_terms", "q_authors"]
+MODULES = ["q_terms", "q_authors", "q_clean"]
 
 
 def all_queries():
