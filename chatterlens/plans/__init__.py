@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_terms", "q_authors", "q_clean"]
+MODULES = ["q_terms", "q_authors", "q_clean", "q_vectors"]
 
 
 def all_queries():
