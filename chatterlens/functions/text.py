@@ -75,8 +75,8 @@ def tokenize(text, stop_words=None) -> Column:
     def per_sentence(s):
         words = F.transform(F.split(s, " "), clean_word)
         if stops:
-            sa = stop_array(stops)
-            return F.filter(words, lambda w: (w != "") & ~F.array_contains(sa, w))
+            # ``isin`` over a long literal list is planned as a hash-set lookup
+            return F.filter(words, lambda w: (w != "") & ~w.isin(stops))
         return F.filter(words, lambda w: w != "")
 
     return F.when(t.isNull(), F.array().cast("array<array<string>>")) \
@@ -102,9 +102,9 @@ def regex_clean_lower(c) -> Column:
 
 def alpha_tokens(c, stop_words=None) -> Column:
     """Whitespace tokens made only of letters, lower-cased, stop words out."""
-    sa = stop_array(stop_words)
+    stops = list(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
     toks = F.split(F.lower(F.trim(_col(c))), r"\s+")
-    return F.filter(toks, lambda t: t.rlike("^[a-zA-Z]+$") & ~F.array_contains(sa, t))
+    return F.filter(toks, lambda t: t.rlike("^[a-zA-Z]+$") & ~t.isin(stops))
 
 
 def replace_url_tokens(c) -> Column:

@@ -47,13 +47,21 @@ def quantile_nodes(g: int) -> list[float]:
     return [-math.log(1.0 - (i + 0.5) / g) for i in range(g)]
 
 
-def _lse_and_mean(ll: Column, mus: Column, log_w: float):
-    """log-mean-exp of an array and the softmax-weighted mean of ``mus``."""
-    mx = F.array_max(ll)
-    wts = F.transform(ll, lambda v: F.exp(v - mx))
-    tot = F.aggregate(wts, F.lit(0.0), lambda acc, v: acc + v)
-    wmu = F.aggregate(F.zip_with(wts, mus, lambda w, m: w * m), F.lit(0.0), lambda acc, v: acc + v)
-    return mx + F.ln(tot) - F.lit(log_w), wmu / tot
+def _lse_and_mean(ll: Column, mus: Column, log_w: float) -> Column:
+    """One pass over the node array: online log-sum-exp of ``ll`` and the
+    softmax-weighted sum of ``mus`` (no value of the array is referenced from
+    inside a per-element lambda, so the work stays linear in the nodes)."""
+    pairs = F.zip_with(ll, mus, lambda a, b: F.struct(a.alias("l"), b.alias("m")))
+    init = F.struct(F.lit(float("-inf")).alias("mx"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
+
+    def step(acc, e):
+        m2 = F.greatest(acc["mx"], e["l"])
+        sc = F.exp(acc["mx"] - m2)
+        w = F.exp(e["l"] - m2)
+        return F.struct(m2.alias("mx"), (acc["s"] * sc + w).alias("s"), (acc["t"] * sc + w * e["m"]).alias("t"))
+
+    r = F.aggregate(pairs, init, step)
+    return F.struct((r["mx"] + F.ln(r["s"]) - F.lit(log_w)).alias("lse"), (r["t"] / r["s"]).alias("mean"))
 
 
 def change_points(series: DataFrame, key: str = "word", value_col: str = "share",
@@ -106,10 +114,10 @@ def change_points(series: DataFrame, key: str = "word", value_col: str = "share"
                        - (F.col("n") - F.col("m")) * e["lnb"])
     mus = F.transform(nd, lambda e: e["mu"])
     log_w = math.log(nodes * nodes)
-    lse_l, mu_l = _lse_and_mean(ll_l, mus, log_w)
-    lse_r, mu_r = _lse_and_mean(ll_r, mus, log_w)
-    s = s.select(key, date_col, idx_col, "n", lse_l.alias("lse_l"), mu_l.alias("mu_l"),
-                 lse_r.alias("lse_r"), mu_r.alias("mu_r"))
+    s = s.select(key, date_col, idx_col, "n", _lse_and_mean(ll_l, mus, log_w).alias("L"),
+                 _lse_and_mean(ll_r, mus, log_w).alias("R"))
+    s = s.select(key, date_col, idx_col, "n", F.col("L.lse").alias("lse_l"), F.col("L.mean").alias("mu_l"),
+                 F.col("R.lse").alias("lse_r"), F.col("R.mean").alias("mu_r"))
 
     n1 = (F.col("n") - 1).cast("double")
     k = F.col(idx_col).cast("double")
