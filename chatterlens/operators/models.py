@@ -70,15 +70,30 @@ def median_label(df: DataFrame, value_col: str = "ups", rule: str = "median", th
     return df.withColumn("label", (F.col(value_col) > thr).cast("double"))
 
 
+def cumulative_before(df: DataFrame, order_col: str, value_col: str, out_col: str) -> DataFrame:
+    """Sum of ``value_col`` over all rows with a smaller ``order_col`` (rows
+    distinct on ``order_col``), as a distributed prefix sum: range-partitioned
+    sort, one total per partition, prefix offsets of those totals (one row per
+    partition, broadcast) plus a running sum inside each partition.  No
+    single-partition window over the rows."""
+    s = df.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_pid", F.spark_partition_id())
+    part = s.groupBy("_pid").agg(F.sum(value_col).alias("_ps"))
+    offs = part.select("_pid", F.coalesce(F.sum("_ps").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_in", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+    return s.join(F.broadcast(offs), "_pid").withColumn(out_col, F.col("_off") + F.col("_in")) \
+        .drop("_pid", "_off", "_in")
+
+
 def percent_rank_label(df: DataFrame, score_col: str, cut: float = 0.5) -> DataFrame:
     """``percent_rank() over (order by score) >= cut`` without a global
-    single-partition window over rows: rank depends only on how many scores
-    are strictly smaller, so count per distinct score, cumulate over the
-    distinct values and join back on the score."""
+    single-partition window: a row's rank depends only on how many scores are
+    strictly smaller, so count per distinct score, prefix-sum those counts
+    (:func:`cumulative_before`) and join back on the score."""
     n = df.agg(F.count(F.lit(1))).scalar()
     cnt = df.groupBy(score_col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)
-    below = cnt.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    below = cumulative_before(cnt, score_col, "_c", "_below")
     pr = F.when(n > 1, F.col("_below") / (n - 1)).otherwise(F.lit(0.0))
     below = below.select(score_col, pr.alias("percent_rank"))
     return df.join(below, score_col).withColumn("label", (F.col("percent_rank") >= cut).cast("int"))
@@ -123,8 +138,7 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", th
         F.avg((s - y) * (s - y)).alias("mse"),
         F.var_pop(y).alias("var_y"))
     per = df.groupBy(s.alias("s")).agg(F.sum(y).alias("pos"), F.sum(F.lit(1.0) - y).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    per = cumulative_before(per, "s", "neg", "neg_below")
     auc = per.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
                    / (F.sum("pos") * F.sum("neg"))).alias("auc"))
     return base.select("accuracy", ((F.col("tpr") + F.col("tnr")) / 2).alias("balanced_accuracy"),

@@ -108,15 +108,27 @@ def relaxed_transport(pairs: DataFrame, cl: DataFrame) -> DataFrame:
 def lsh_pairs(tok: DataFrame, threshold: float = 0.5, tokens_col: str = "tokens", num_features: int = 1 << 18,
               num_hash_tables: int = 5, seed: int = 42) -> DataFrame:
     """Approximate near-duplicate pairs by MinHash LSH (Jaccard distance
-    of word sets below ``threshold``)."""
-    # MinHash needs a non-empty set: empty texts get a marker token and are
-    # dropped from the result (they are nobody's near duplicate)
-    words = F.array_distinct(F.flatten(tokens_col))
-    p = tok.select("id", F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("\u0001"))).alias("words"),
-                   (F.size(words) > 0).alias("has_words"))
-    feats = HashingTF(inputCol="words", outputCol="f", numFeatures=num_features, binary=True).transform(p)
+    of word sets below ``threshold``).
+
+    Identical word sets are collapsed first to one representative (smallest
+    id) with a member count, so a set shared by a third of all posts is one
+    row, not a bucket that would emit all pairs of its members.  The result
+    pairs distinct sets: ``(rep_a, rep_b, jaccard_distance, members_a,
+    members_b)``; exact copies are reported by :func:`exact_set_groups`.
+    """
+    groups = exact_set_groups(tok, tokens_col)
+    reps = groups.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"),
+                                         F.first("words").alias("words"))
+    feats = HashingTF(inputCol="words", outputCol="f", numFeatures=num_features, binary=True).transform(reps)
     model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=num_hash_tables, seed=seed).fit(feats)
     j = model.approxSimilarityJoin(feats, feats, threshold, distCol="jaccard_distance")
-    j = j.filter(F.col("datasetA.has_words") & F.col("datasetB.has_words"))
-    return j.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"), "jaccard_distance") \
-        .filter(F.col("id_a") < F.col("id_b"))
+    return j.select(F.col("datasetA.rep").alias("rep_a"), F.col("datasetB.rep").alias("rep_b"), "jaccard_distance",
+                    F.col("datasetA.members").alias("members_a"), F.col("datasetB.members").alias("members_b")) \
+        .filter(F.col("rep_a") < F.col("rep_b"))
+
+
+def exact_set_groups(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """Posts keyed by their sorted distinct word set (non-empty sets only)."""
+    words = F.array_sort(F.array_distinct(F.flatten(tokens_col)))
+    return tok.select("id", words.alias("words")).filter(F.size("words") > 0) \
+        .withColumn("set_key", F.sha2(F.array_join("words", " "), 256))

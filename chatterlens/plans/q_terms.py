@@ -11,6 +11,7 @@ from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 
 K_DAILY = 2        # daily top words (package default)
 CP_NODES = 8       # quadrature nodes per shape parameter
+K_NEW = 200        # hot / known list sizes of the new-term detector (upstream value)
 CP_EPS = 1e-6
 
 
@@ -61,11 +62,11 @@ def q_rolling_share(spark, sf):
 
 
 def q_new_terms(spark, sf):
-    return finalize(terms.new_terms(_tok(spark, sf), k_hot=10, k_known=10, lookback=9, skip_first=11))
+    return finalize(terms.new_terms(_tok(spark, sf), k_hot=K_NEW, k_known=K_NEW, lookback=9, skip_first=11))
 
 
 def q_new_persistent_terms(spark, sf):
-    return finalize(terms.new_terms(_tok(spark, sf), k_hot=10, k_known=10, lookback=9, skip_first=11,
+    return finalize(terms.new_terms(_tok(spark, sf), k_hot=K_NEW, k_known=K_NEW, lookback=9, skip_first=11,
                                     persist_ahead=2))
 
 
@@ -219,16 +220,16 @@ def _new_terms_sql(persist: int) -> str:
     extra = ""
     if persist:
         extra = f"""
-  AND (SELECT count(*) FROM hot10 h2 WHERE h2.word = h.word
+  AND (SELECT count(*) FROM hotk h2 WHERE h2.word = h.word
        AND h2.day_idx BETWEEN h.day_idx + 1 AND h.day_idx + {persist}) = {persist}
   AND h.day_idx < (SELECT count(*) FROM axis) - {persist}"""
-    return wrap_sql(f"""WITH {_top_ctes(10)},
+    return wrap_sql(f"""WITH {_top_ctes(K_NEW)},
 axis AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS day_idx
          FROM (SELECT DISTINCT date FROM tposts)),
-hot10 AS (SELECT t.date, a.day_idx, t.word, t.cf, CAST(t.rank AS BIGINT) AS rank FROM top t JOIN axis a ON a.date = t.date)
-SELECT h.date, h.day_idx, h.word, h.cf, h.rank FROM hot10 h
+hotk AS (SELECT t.date, a.day_idx, t.word, t.cf, CAST(t.rank AS BIGINT) AS rank FROM top t JOIN axis a ON a.date = t.date)
+SELECT h.date, h.day_idx, h.word, h.cf, h.rank FROM hotk h
 WHERE h.day_idx >= 11
-  AND NOT EXISTS (SELECT 1 FROM hot10 k WHERE k.word = h.word
+  AND NOT EXISTS (SELECT 1 FROM hotk k WHERE k.word = h.word
                   AND k.day_idx BETWEEN h.day_idx - 9 AND h.day_idx - 1){extra}""", texts=("date",))
 
 
