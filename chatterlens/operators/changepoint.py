@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import entropy_term, lgamma
+from ..session import cut_lineage
 
 DEFAULT_NODES = 8
 DEFAULT_EPS = 1e-6
@@ -72,6 +73,10 @@ def change_points(series: DataFrame, key: str = "word", value_col: str = "share"
 
     ``idx`` must number each key's points 0..n-1 in date order.
     """
+    # the series is small (words x dates) but expensive to derive and read
+    # by several branches below: materialise it once in the shared
+    # checkpoint folder, which also cuts its lineage
+    series = cut_lineage(series.select(key, date_col, idx_col, value_col))
     x = F.least(F.greatest(F.col(value_col).cast("double"), F.lit(eps)), F.lit(1.0 - eps))
     s = series.select(key, date_col, idx_col, x.alias("x"))
     s = s.withColumn("lx", F.ln("x")).withColumn("l1x", F.ln(F.lit(1.0) - F.col("x")))
