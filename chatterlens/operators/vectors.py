@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import cosine_similarity, dot, norm
+from ..session import cut_lineage
 
 VEC_DIM = 4
 
@@ -126,7 +127,9 @@ def term_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def tfidf(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Tf x (ln((1+n)/(1+df)) + 1), L2-normalised per document."""
-    tc = term_counts(docs, text_col, id_col)
+    # (doc, term, tf) feeds three branches (df, weights, norms): write it once
+    # to the shared checkpoint folder instead of re-running the regex scan
+    tc = cut_lineage(term_counts(docs, text_col, id_col))
     n = docs.select(F.count(F.lit(1))).scalar()
     df_ = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = tc.join(df_, "term")
