@@ -132,3 +132,34 @@ def exact_set_groups(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     words = F.array_sort(F.array_distinct(F.flatten(tokens_col)))
     return tok.select("id", words.alias("words")).filter(F.size("words") > 0) \
         .withColumn("set_key", F.sha2(F.array_join("words", " "), 256))
+
+
+def sorted_lag(df: DataFrame, key: str, order_cols, value_col: str) -> DataFrame:
+    """Per-key running position and previous value in ``order_cols`` order,
+    safe for a key holding a large share of all rows.
+
+    The rows are range-partitioned on ``(key, order)`` so a hot key is spread
+    over many partitions; ``lag`` and ``row_number`` run inside each
+    partition, and the partition boundaries are repaired with two small
+    tables: the last row of every partition (one row per partition, broadcast)
+    and the per-(partition, key) counts prefix-summed per key (at most one row
+    per partition for each key, so a key's group is bounded by the partition
+    count, never by its row count).
+    """
+    order_cols = list(order_cols)
+    s = df.repartitionByRange(key, *order_cols).sortWithinPartitions(key, *order_cols) \
+        .withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy(*order_cols)
+    s = s.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value_col).over(w))
+    last = s.groupBy("_pid").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value_col).alias("v")),
+                                          F.struct(F.col(key), *[F.col(c) for c in order_cols])).alias("l"))
+    last = last.select((F.col("_pid") + 1).alias("_pid"), F.col("l.k").alias("_prev_key"),
+                       F.col("l.v").alias("_prev_v"))
+    cnt = s.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+    cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    s = s.join(F.broadcast(last), "_pid", "left").join(cnt.select("_pid", key, "_before"), ["_pid", key])
+    prev = F.when(F.col("_rn") == 1, F.when(F.col("_prev_key") == F.col(key), F.col("_prev_v"))) \
+        .otherwise(F.col("_lag"))
+    return s.withColumn("prev_value", prev).withColumn("position", F.col("_before") + F.col("_rn")) \
+        .drop("_pid", "_rn", "_lag", "_prev_key", "_prev_v", "_before")

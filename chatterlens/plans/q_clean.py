@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import timeparts as D
 from ..operators import clean as C
 from ..operators import terms
+from ..operators.similarity import sorted_lag
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, STOPS_SQL, finalize, wrap_sql
 
@@ -309,12 +310,10 @@ def q_id_differences(spark, sf):
 
 def q_snapshot_history(spark, sf):
     """Ordered score series per key with deltas (events as snapshots)."""
-    ev = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    h = ev.select("user_id", "event_id", "ts", "value",
-                  (F.col("value") - F.lag("value").over(w)).alias("delta"),
-                  F.row_number().over(w).alias("poll"))
-    return finalize(h.select("user_id", "event_id", "poll", "delta"))
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    h = sorted_lag(ev, "user_id", ["ts", "event_id"], "value")
+    return finalize(h.select("user_id", "event_id", F.col("position").alias("poll"),
+                             (F.col("value") - F.col("prev_value")).alias("delta")))
 
 
 # ---------------------------------------------------------------- SQL twins

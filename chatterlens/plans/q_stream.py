@@ -50,18 +50,19 @@ def q_stream_snapshots(spark, sf):
                                            F.col("value").alias("score"))
     path = _stage_in_time_order(ev, F.unix_micros("ts").cast("double"), "polls-stream")
     src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = Z.run_available_now(Z.snapshot_stream(src, "30 days"), "snapshots")
-    res = Z.latest_rows(spark, out, ["post_id"])
-    return finalize(res.select("post_id", "first_score", "last_score", "polls"))
+    out = Z.run_available_now(Z.snapshot_stream(src, "3 hours"), "snapshots")
+    res = Z.latest_rows(spark, out, ["post_id", "span"])
+    return finalize(res.select("post_id", F.to_date(F.col("span.start")).alias("day"),
+                               "first_score", "last_score", "polls"))
 
 
 SQL = {
     "stream_daily_terms": wrap_sql(f"""WITH {POSTS_CTE},
 {token_ctes()}
 SELECT date, word, count(*) AS cf FROM words GROUP BY date, word""", texts=("date",)),
-    "stream_snapshots": wrap_sql("""SELECT user_id AS post_id, arg_min(value, ts) AS first_score,
-  arg_max(value, ts) AS last_score, count(*) AS polls FROM events GROUP BY user_id""",
-                                 doubles=("first_score", "last_score")),
+    "stream_snapshots": wrap_sql("""SELECT user_id AS post_id, CAST(ts AS DATE) AS day, arg_min(value, ts) AS first_score,
+  arg_max(value, ts) AS last_score, count(*) AS polls FROM events GROUP BY user_id, CAST(ts AS DATE)""",
+                                 doubles=("first_score", "last_score"), texts=("day",)),
 }
 
 QUERIES = [

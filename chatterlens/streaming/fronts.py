@@ -54,12 +54,15 @@ def daily_term_counts_stream(posts_stream: DataFrame, delay: str = "1 day") -> D
     return w.groupBy(F.window("ts", "1 day").alias("day"), "word").agg(F.count(F.lit(1)).alias("cf"))
 
 
-def snapshot_stream(polls: DataFrame, delay: str = "3 hours") -> DataFrame:
-    """Z02 on a streaming source of ``(post_id, ts, score)`` polls."""
+def snapshot_stream(polls: DataFrame, delay: str = "3 hours", span: str = "1 day") -> DataFrame:
+    """Z02 on a streaming source of ``(post_id, ts, score)`` polls: first /
+    last score and poll count per post and event-time window of ``span``.
+    Grouping by the window lets the watermark evict finished windows, so the
+    state stays bounded however many posts arrive."""
     s = polls.withWatermark("ts", delay)
-    return s.groupBy("post_id").agg(F.min_by("score", "ts").alias("first_score"),
-                                    F.max_by("score", "ts").alias("last_score"),
-                                    F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("polls"))
+    return s.groupBy("post_id", F.window("ts", span).alias("span")).agg(
+        F.min_by("score", "ts").alias("first_score"), F.max_by("score", "ts").alias("last_score"),
+        F.count(F.lit(1)).alias("polls"))
 
 
 def stage_as_files(df: DataFrame, name: str, parts: int = 4, order_col: str | None = None) -> str:

@@ -186,3 +186,16 @@ def test_html_to_text(spark):
     df = spark.createDataFrame([(html,), (None,)], "h string")
     out = [r[0] for r in df.select(T.html_to_text("h")).collect()]
     assert out == ["A & B", None]
+
+
+def test_sorted_lag_hot_key_matches_window(spark):
+    from pyspark.sql import Window
+    from chatterlens.operators.similarity import sorted_lag
+    rows = [("hot", i, float(i * i % 17)) for i in range(400)] + [(f"k{j}", i, float(i + j)) for j in range(5)
+                                                                   for i in range(7)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    got = {(r.k, r.t): (r.position, r.prev_value) for r in sorted_lag(df, "k", ["t"], "v").collect()}
+    w = Window.partitionBy("k").orderBy("t")
+    exp = {(r.k, r.t): (r.p, r.l) for r in df.select("k", "t", F.row_number().over(w).alias("p"),
+                                                    F.lag("v").over(w).alias("l")).collect()}
+    assert got == exp
