@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..functions.timeparts import utc_date
+from ..session import cut_lineage
 
 
 def with_tokens(posts: DataFrame, text_col: str = "title", out: str = "tokens",
@@ -128,6 +129,9 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
                          value_col: str = "ups") -> DataFrame:
     """A03 (package version): ``(word, date, idx, n, share)``.
 
+    ``words`` is a word table, or an int k meaning "the union of the daily
+    top-k words" computed from the same materialised token slice.
+
     For every word and every date of the corpus: keyword statistic (missing
     date -> ``fill``, 1 upstream, also for sums) divided by the date's total;
     shares equal to 0 (and undefined ones) are dropped, then positions are
@@ -135,6 +139,13 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
     the sorted per-date totals, a scalar subquery of at most one row per
     calendar date -- no join of words with dates is planned.
     """
+    # the token table feeds three aggregates (totals, word stats, and usually
+    # the hot-word list): materialise the narrow (date, value, tokens) slice
+    # once in the shared checkpoint folder instead of re-running the upstream
+    # join and tokenizer per branch
+    tok = cut_lineage(tok.select("date", value_col, tokens_col))
+    if isinstance(words, int):
+        words = popular_words(tok, words, tokens_col)
     totals = daily_totals(tok, statistic, value_col)
     axis = totals.select(F.sort_array(F.collect_list(F.struct("date", "total"))).alias("axis")).scalar()
     grid = words.select("word").distinct().select("word", F.explode(axis).alias("d"))

@@ -34,8 +34,7 @@ def q_corpus_top_words(spark, sf):
 
 
 def _series(spark, sf, statistic="count"):
-    tok = _tok(spark, sf)
-    return terms.keyword_share_series(tok, terms.popular_words(tok, K_DAILY), statistic)
+    return terms.keyword_share_series(_tok(spark, sf), K_DAILY, statistic)
 
 
 def q_share_series(spark, sf):
