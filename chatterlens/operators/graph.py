@@ -59,13 +59,16 @@ def connected_components(verts: DataFrame, edges: DataFrame, src: str = "u", dst
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         m = d.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         ls = d.filter(F.col("v") > F.col("u")).join(m, "u")
-        ls = cut_lineage(_norm_edges(ls, "v", "m"))
+        ls = _norm_edges(ls, "v", "m")
         # small star: u and its lower neighbours link to the least of them
         mm = ls.groupBy("b").agg(F.min("a").alias("m"))
         ss = ls.join(mm, "b").select(F.col("a").alias("x"), F.col("m").alias("y")).unionByName(
             mm.select(F.col("b").alias("x"), F.col("m").alias("y")))
         ss = cut_lineage(_norm_edges(ss, "x", "y"))
-        same = ss.subtract(e).isEmpty() and e.subtract(ss).isEmpty()
+        # converged when the edge set is unchanged: one full outer join
+        diff = e.withColumn("_o", F.lit(1)).join(ss.withColumn("_n", F.lit(1)), ["a", "b"], "full_outer") \
+            .filter(F.col("_o").isNull() | F.col("_n").isNull())
+        same = diff.isEmpty()
         e = ss
         if same:
             break

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import sq_euclid
+from ..session import cut_lineage
 
 
 def posting_order(df: DataFrame, order_cols=("created_utc", "id"), pos_col: str = "pos") -> DataFrame:
@@ -66,7 +67,9 @@ def repost_pairs(tok: DataFrame, width: int = 200, tokens_col: str = "tokens") -
     positions of each other (posts with no words excluded)."""
     p = tok.filter(F.size(F.flatten(tokens_col)) > 0) \
         .select("id", "created_utc", bag_signature(tokens_col).alias("sig"))
-    p = posting_order(p)
+    # narrow (id, time, signature) table read three times by the ordering
+    # step (range sampling, partition counts, rows): write it once
+    p = posting_order(cut_lineage(p))
     return neighbourhood_pairs(p, width, extra_keys=("sig",)).drop("sig")
 
 

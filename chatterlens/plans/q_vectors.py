@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.text import pad_truncate
+from ..session import cut_lineage
 from ..operators import clusters as KC
 from ..operators import similarity as S
 from ..operators import terms
@@ -26,7 +27,8 @@ def _tok2(spark, sf, col="title", out="tokens"):
 
 
 def q_post_vectors(spark, sf):
-    tok = _tok2(spark, sf)
+    # tokens feed both the vocabulary and the post explode: write them once
+    tok = cut_lineage(_tok2(spark, sf).select("id", "tokens"))
     pv = V.post_vectors(tok, V.rule_vectors(tok), V.VEC_DIM)
     return finalize(pv.select("id", F.posexplode("vector").alias("dim", "value")))
 
