@@ -119,8 +119,12 @@ WORD_RE = r"[\p{L}\p{N}_]{2,}"   # fixed value: 2+ word characters (Unicode lett
 
 
 def term_counts(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """``(id, term, tf)`` of lower-cased 2+ character word tokens."""
-    t = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))
+    """``(id, term, tf)`` of lower-cased 2+ character word tokens.
+
+    Documents are hash-partitioned by id first (one row per document), so the
+    per-(doc, term) count needs no second shuffle of the exploded terms: a
+    document's terms are counted where the document lives."""
+    t = docs.select(id_col, text_col).repartition(id_col).select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_RE), 0))
                     .alias("term"))
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
