@@ -281,3 +281,21 @@ def daily_entropy(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     p = counts.join(tot, "date").withColumn("p", F.col("cf") / F.col("total"))
     return p.groupBy("date").agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"),
                                  F.count(F.lit(1)).alias("n_words"))
+
+
+# ------------------------------------------------------------------ ml stage
+from pyspark.ml import Transformer  # noqa: E402
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
+
+
+class TextTokenizer(Transformer, HasInputCol, HasOutputCol):
+    """The tokenizer (T01/T02) as a reusable pipeline stage; ``stop_words``
+    None = English list, [] = keep every word."""
+
+    def __init__(self, inputCol: str = "title", outputCol: str | None = None, stop_words=None):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol or f"tokenized_{inputCol}")
+        self.stop_words = stop_words
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOutputCol(), tokenize(F.col(self.getInputCol()), self.stop_words))

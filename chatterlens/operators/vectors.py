@@ -211,3 +211,44 @@ def similarity_to(df: DataFrame, id_col: str, vec_col: str, target_id) -> DataFr
 
 
 __all__ = ["dot", "norm"]
+
+
+# ------------------------------------------------------------------ ml stage
+from pyspark.ml import Estimator, Model  # noqa: E402
+
+
+class ConceptCluster(Estimator):
+    """Fit Word2Vec on the token columns, k-means the word vectors
+    (``k = vocabulary // rough_size``), and transform posts into per-cluster
+    token counts of each column (E12); ``cluster_of_word`` lists a word's
+    cluster mates (K04)."""
+
+    def __init__(self, cols=("tok_title", "tok_selftext"), rough_size: int = 200, size: int = 100,
+                 min_count: int = 10, epochs: int = 4, seed: int = 42):
+        super().__init__()
+        self.cols, self.rough_size, self.size = list(cols), rough_size, size
+        self.min_count, self.epochs, self.seed = min_count, epochs, seed
+
+    def _fit(self, df: DataFrame) -> "ConceptClusterModel":
+        from .clusters import kmeans_words
+        sents = None
+        for c in self.cols:
+            s = df.select(F.col(c).alias("tokens"))
+            sents = s if sents is None else sents.unionByName(s)
+        _, vecs = train_word2vec(sents, "tokens", self.size, self.min_count, self.epochs, self.seed)
+        clusters = kmeans_words(vecs, self.rough_size, self.seed)
+        k = clusters.agg(F.max("cluster")).first()[0] + 1
+        return ConceptClusterModel(clusters, int(k), self.cols)
+
+
+class ConceptClusterModel(Model):
+    def __init__(self, clusters: DataFrame, k: int, cols):
+        super().__init__()
+        self.clusters, self.k, self.cols = clusters, k, cols
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.join(concept_counts(df, self.clusters, self.cols, self.k), "id", "left")
+
+    def cluster_of_word(self, word: str) -> DataFrame:
+        c = self.clusters.filter(F.col("word") == word).select("cluster")
+        return self.clusters.join(c, "cluster", "left_semi").select("word")

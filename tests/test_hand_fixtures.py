@@ -199,3 +199,19 @@ def test_sorted_lag_hot_key_matches_window(spark):
     exp = {(r.k, r.t): (r.p, r.l) for r in df.select("k", "t", F.row_number().over(w).alias("p"),
                                                     F.lag("v").over(w).alias("l")).collect()}
     assert got == exp
+
+
+def test_pipeline_stages(spark):
+    from chatterlens.operators.terms import TextTokenizer
+    from chatterlens.operators.vectors import ConceptCluster
+    from chatterlens.sources.fixtures import posts_view
+    from conftest import SF0001
+    p = posts_view(spark, SF0001)
+    p = TextTokenizer("title", "tok_title", stop_words=[]).transform(p)
+    p = TextTokenizer("selftext", "tok_selftext", stop_words=[]).transform(p)
+    model = ConceptCluster(rough_size=50, size=16, min_count=5, epochs=1).fit(p)
+    out = model.transform(p)
+    cols = [c for c in out.columns if c.endswith("_counts")]
+    assert len(cols) == 2 * model.k and out.count() == p.count()
+    w = model.clusters.first()["word"]
+    assert w in [r.word for r in model.cluster_of_word(w).collect()]
