@@ -215,3 +215,24 @@ def test_pipeline_stages(spark):
     assert len(cols) == 2 * model.k and out.count() == p.count()
     w = model.clusters.first()["word"]
     assert w in [r.word for r in model.cluster_of_word(w).collect()]
+
+
+def test_neighbourhood_pairs_brute_force(spark):
+    from chatterlens.operators.similarity import neighbourhood_pairs, posting_order
+    rows = [(f"p{i:03d}", 1000 + (i * 37) % 113, "hot" if i % 3 else f"s{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, created_utc long, sig string")
+    got = {(r.id_a, r.id_b) for r in neighbourhood_pairs(posting_order(df), 7, extra_keys=("sig",)).collect()}
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    pos = {r[0]: i for i, r in enumerate(order)}
+    sig = {r[0]: r[2] for r in rows}
+    exp = {(a, b) for a in pos for b in pos
+           if 0 < pos[b] - pos[a] <= 7 and sig[a] == sig[b]}
+    assert got == exp
+
+
+def test_repeated_sample_mean_invariants(spark):
+    import __spark_entry__ as E
+    from conftest import SF0001
+    rows = E.queries()["repeated_sample_mean"](spark, SF0001).collect()
+    assert len(rows) == 20 and all(r.n == 50 for r in rows)
+    assert rows[0].mean_of_means == pytest.approx(sum(r.sample_mean for r in rows) / 20, abs=1e-6)
