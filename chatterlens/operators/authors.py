@@ -50,14 +50,21 @@ def popular_authors(posts: DataFrame, min_mean: float = 200.0, value_col: str =
     return t.filter(F.col("ups_mean") > min_mean).select("author", "n_posts", "ups_sum", "ups_mean")
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, std, min, quartiles (linear interpolation), max."""
+def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
+    """Count, mean, std, min, quartiles (linear interpolation), max.
+
+    The exact quartiles buffer one count per distinct value in the final
+    reduction; ``exact=False`` uses a bounded-memory quantile sketch for
+    columns with very many distinct values."""
     c = F.col(col)
+    if exact:
+        q = [F.percentile(c, x) for x in (0.25, 0.5, 0.75)]
+    else:
+        q = [F.percentile_approx(c, x, 10000).cast("double") for x in (0.25, 0.5, 0.75)]
     return df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
         F.min(c).cast("double").alias("min"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"),
-        F.percentile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"))
+        q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(c).cast("double").alias("max"))
 
 
 def beta_shrinkage(posts: DataFrame, prior=None, ups_col: str = "r_ups", downs_col: str = "r_downs"):
