@@ -2,9 +2,12 @@
 
 Words are lower-cased runs of ASCII letters and digits and of characters beyond
 ASCII; other ASCII characters part words. A test item is cut into segments of at
-most ``SEGMENT`` words. A first pass over the documents counts in how many each
-word 3-gram of the items occurs; the rarer half of a segment's 3-grams (at least
-``SEEDS``) are its seeds. A second pass joins the documents' 3-grams to the
+most ``SEGMENT`` words. A first pass over the documents counts how many hold a
+word 3-gram of the items by chance: documents with ``TOGETHER`` 3-grams of the
+same segment are left out of the count, so a passage that very many documents
+copy does not make its own 3-grams common. A segment's seeds are its 3-grams in
+at most one of ``RARE`` documents, and its ``SEEDS`` rarest ones in any case. A
+second pass joins the documents' 3-grams to the
 seeds; around each diagonal with a seed the item is aligned with the passage
 (local alignment of words: match 2, other -1, gap -1) and scored as a share of
 the score of a whole copy.
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches
 
 GRAM, SEGMENT, SEEDS = 3, 64, 8
+TOGETHER, RARE = 3, 1000
 #: Words of test items held by a task at once.
 BLOCK_WORDS = 400_000
 #: From this share of a whole copy's score up a document is contaminated.
@@ -62,7 +66,13 @@ class Block:
         codes = [self.codes(s) for s in self.segments]
         self.grams = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]))
         self.places = [np.searchsorted(self.grams, c) for c in codes]
-        self.seeds = None
+        #: segments of each 3-gram, one after another
+        gram = np.concatenate([*map(np.unique, self.places), np.empty(0, np.int64)])
+        segment = np.repeat(np.arange(len(codes)), [len(np.unique(p)) for p in self.places])
+        order = np.argsort(gram, kind="stable")
+        self.segment_of = segment[order]
+        self.segment_from = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        self.enough = np.array([min(TOGETHER, len(np.unique(p))) for p in self.places], np.int64)
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """A number for each 3-gram; -1 where a word is in no item."""
@@ -90,14 +100,31 @@ class Block:
         ok = self.grams[gram] == code[at]
         return at[ok], gram[ok]
 
-    def choose(self, seen: dict[int, int]) -> None:
-        """Seeds: the rarer half of each segment's 3-grams, by documents ``seen``."""
+    def by_chance(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each 3-gram, the texts that hold it without holding enough of a
+        segment that it is in."""
+        at, gram = self.found(ids)
+        n = len(self.grams)
+        once = np.unique(np.searchsorted(starts, at, side="right") * n + gram)
+        text, gram = once // n, once % n
+        many = self.segment_from[gram + 1] - self.segment_from[gram]
+        first = np.cumsum(many) - many
+        place = np.arange(many.sum()) - np.repeat(first, many) + np.repeat(self.segment_from[gram], many)
+        segment = self.segment_of[place]
+        _, back, held = np.unique(np.repeat(text, many) * len(self.segments) + segment, return_inverse=True, return_counts=True)
+        together = held[back] >= self.enough[segment]
+        alone = np.add.reduceat(together, first) == 0 if len(first) else np.zeros(0, bool)
+        return np.bincount(gram[alone], minlength=n)
+
+    def choose(self, seen: dict[int, int], documents: int) -> None:
+        """Seeds of each segment by the documents that hold a 3-gram by chance."""
         self.seeds = defaultdict(list)
         for k, place in enumerate(self.places):
             # ties go to the earlier place
             order = sorted(range(len(place)), key=lambda q: (seen.get(int(place[q]), 0), q))
-            for q in order[:max(SEEDS, -(-len(order) // 2))]:
-                self.seeds[int(place[q])].append((k, q))
+            for r, q in enumerate(order):
+                if r < SEEDS or seen.get(int(place[q]), 0) * RARE <= documents:
+                    self.seeds[int(place[q])].append((k, q))
         self.is_seed = np.zeros(len(self.grams), bool)
         self.is_seed[list(self.seeds)] = True
 
@@ -189,29 +216,28 @@ def blocks(benchmark: DataFrame):
         yield Block(held)
 
 
-def document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
-    """Documents with each 3-gram of the block; a task sums up what it reads."""
+def document_counts(docs: DataFrame, block: Block) -> tuple[dict[int, int], int]:
+    """(documents by chance with each 3-gram of the block, all documents); a task
+    sums up what it reads."""
     def count(batches):
-        seen = np.zeros(len(block.grams), np.int64)
+        seen, total = np.zeros(len(block.grams), np.int64), 0
         for b in batches:
+            total += b.num_rows
             for _, part in slices(b.column(0).to_pylist()):
-                ids, starts = block.read(part)
-                at, gram = block.found(ids)
-                owner = np.searchsorted(starts, at, side="right")
-                once = np.unique(owner * len(seen) + gram) % len(seen)
-                seen += np.bincount(once, minlength=len(seen))
+                seen += block.by_chance(*block.read(part))
         hit = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(seen[hit])], ["g", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int64()), pa.array([total, *seen[hit].tolist()], pa.int64())], ["g", "n"])
 
     rows = docs.select(lowered().alias("text")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    return {r.g: r.n for r in rows.collect()}  # at most the block's 3-grams
+    found = {r.g: r.n for r in rows.collect()}  # at most the block's 3-grams and one
+    return found, found.pop(-1, 0)
 
 
 def seeded_blocks(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
     out = []
     for block in blocks(benchmark):
         if len(block.grams):
-            block.choose(document_counts(docs, block))
+            block.choose(*document_counts(docs, block))
             out.append(block)
     return out
 
