@@ -9,7 +9,8 @@ backpointer. Of equally good segmentations the one whose last piece is longest
 wins, from the end backwards.
 
 Scores are those of the vocabulary file. The given file is a merge-ranked one:
-its scores are merge ranks, and the best-scoring segmentation is not always the
+its scores are merge ranks (runs of spaces have none of use there and rank below
+all other pieces, yet above unknown characters), and the best-scoring segmentation is not always the
 one that replaying the merges gives. Characters without a piece, and a literal
 U+2581 (which would decode as a space), become byte pieces, so decoding gives
 back every text exactly.
@@ -50,7 +51,9 @@ class Vocabulary:
     """Arrays of the pieces: texts, scores, sorted hashes, byte pieces."""
 
     def __init__(self, texts: list[str], scores: list[float], plain: list[bool], byte_ids: list[int]):
-        self.scores = np.array(scores, np.float64)
+        usual = min((x for x in scores if x > -1e8), default=0.0)
+        #: pieces that the file gives no usable score rank below all others
+        self.scores = np.maximum(np.array(scores, np.float64), usual - 1)
         known = [i for i in range(len(texts)) if plain[i] and texts[i]]
         keys = np.array([_hash(map(ord, texts[i])) for i in known], np.uint64)
         order = np.argsort(keys)
@@ -65,7 +68,7 @@ class Vocabulary:
         self.power = np.ones(max([len(texts[i]) for i in known], default=0) + 1, np.uint64)
         self.power[1:] = np.multiply.accumulate(np.full(len(self.power) - 1, _BASE))
         self.lengths = np.unique([len(texts[i]) for i in known])
-        self.lowest = float(min((x for x in scores if x > -1e8), default=0.0)) - UNKNOWN
+        self.lowest = usual - UNKNOWN
         self.byte_ids = byte_ids
         #: what a piece decodes to, as bytes
         self.bytes = [t.replace("▁", " ").encode() if p else b"" for t, p in zip(texts, plain)]
