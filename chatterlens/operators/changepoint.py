@@ -170,6 +170,18 @@ def change_points(series: DataFrame, key: str = "word", value_col: str = "share"
     )
 
 
+def community_change_points(series: DataFrame, community: str = "subreddit", **settings) -> DataFrame:
+    """C01 for every (community, word) apart, with ``mu_ratio`` = mu_2 / mu_1
+    (C06) and the rank of the word's tau entropy in its community (sharpest
+    change first; words without a fit come last)."""
+    cp = change_points(series.withColumn("_key", F.struct(community, "word")), key="_key", **settings)
+    cp = cp.select(F.col(f"_key.{community}").alias(community), F.col("_key.word").alias("word"), *[c for c in cp.columns if c != "_key"],
+                   F.try_divide("mu_2", "mu_1").alias("mu_ratio"))
+    # a community's words: the union of its daily top lists, not its posts
+    rank = F.row_number().over(Window.partitionBy(community).orderBy(F.round("entropy", 6).asc_nulls_last(), "word"))
+    return cp.withColumn("entropy_rank", rank)
+
+
 def report(cp: DataFrame, min_confidence: float = 1.0, min_abs_diff: float = 0.03) -> DataFrame:
     """Keep confident, large shifts; sort by ``mu_diff`` descending."""
     return (cp.filter((F.col("confidence") >= min_confidence) & (F.abs("mu_diff") > min_abs_diff))

@@ -2,8 +2,7 @@
 
 Features are columns computed by Spark (time slots, pooled title vectors,
 author statistics, tf-idf); models are spark.ml estimators inside a
-``Pipeline`` fitted on the training split only (``fit_scope="all"`` reproduces
-the upstream leak of fitting the median / vocabulary on all rows).  Splits
+``Pipeline`` fitted on the training split only.  Splits
 are deterministic hashes of the post id, so they are stable across
 partitionings and re-runs.  Metrics are DataFrame aggregates.
 """
@@ -11,18 +10,14 @@ partitionings and re-runs.  Metrics are DataFrame aggregates.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Normalizer, OneHotEncoder,
-                                PolynomialExpansion, RegexTokenizer, StandardScaler, VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+                                RegexTokenizer, VectorAssembler)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import day_of_year0, utc_ts, weekday_mon0
+from .ordering import sorted_copy, sum_before
 
 # --- fixed values: categorical slot sizes of the time inputs ------------------
 SLOT_SIZES = {"minute": 60, "hour": 24, "weekday": 7, "doy": 366}
@@ -72,18 +67,16 @@ def median_label(df: DataFrame, value_col: str = "ups", rule: str = "median", th
 
 def cumulative_before(df: DataFrame, order_col: str, value_col: str, out_col: str) -> DataFrame:
     """Sum of ``value_col`` over all rows with a smaller ``order_col`` (rows
-    distinct on ``order_col``), as a distributed prefix sum: range-partitioned
-    sort, one total per partition, prefix offsets of those totals (one row per
-    partition, broadcast) plus a running sum inside each partition.  No
-    single-partition window over the rows."""
-    s = df.repartitionByRange(order_col).sortWithinPartitions(order_col).withColumn("_pid", F.spark_partition_id())
-    part = s.groupBy("_pid").agg(F.sum(value_col).alias("_ps"))
-    offs = part.select("_pid", F.coalesce(F.sum("_ps").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    distinct on ``order_col``), as a distributed prefix sum: a stored
+    range-partitioned sort, one total per partition, prefix offsets of those
+    totals (one row per partition, broadcast) plus a running sum inside each
+    partition.  No single-partition window over the rows."""
+    s = sorted_copy(df, [order_col])
+    offs = sum_before(s.groupBy("_pid").agg(F.sum(value_col).alias("_ps")), "_ps", "_off")
+    w = Window.partitionBy("_pid").orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_in", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
     return s.join(F.broadcast(offs), "_pid").withColumn(out_col, F.col("_off") + F.col("_in")) \
-        .drop("_pid", "_off", "_in")
+        .drop("_pid", "_rn", "_off", "_in")
 
 
 def percent_rank_label(df: DataFrame, score_col: str, cut: float = 0.5) -> DataFrame:
@@ -146,9 +139,9 @@ def binary_metrics(df: DataFrame, label: str = "label", score: str = "score", th
                        "mse", (F.lit(1.0) - F.col("mse") / F.col("var_y")).alias("r2"))
 
 
-def fit_tfidf(train: DataFrame, text_col: str, vocab_size: int = 1 << 16):
+def fit_tfidf(train: DataFrame, text_col: str, vocab_size: int | None = None):
     """E07/E08 fitted on the training rows: 2+ character lower-cased tokens,
-    term counts, smooth idf ``ln((1+n)/(1+df)) + 1`` (Spark's IDF is the
+    term counts over the whole vocabulary (unless ``vocab_size`` is given), smooth idf ``ln((1+n)/(1+df)) + 1`` (Spark's IDF is the
     same without the ``+1``, so the fitted idf vector is shifted by one and
     applied as an elementwise product), then L2 normalisation."""
     from pyspark.ml import PipelineModel
@@ -156,14 +149,11 @@ def fit_tfidf(train: DataFrame, text_col: str, vocab_size: int = 1 << 16):
     tok = RegexTokenizer(inputCol=text_col, outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False,
                          toLowercase=True)
     words = tok.transform(train)
+    if vocab_size is None:
+        vocab_size = max(1, words.select(F.explode("_w").alias("w")).distinct().count())
     cvm = CountVectorizer(inputCol="_w", outputCol="_tf", vocabSize=vocab_size).fit(words)
     idfm = IDF(inputCol="_tf", outputCol="_idf").fit(cvm.transform(words))
     scale = Vectors.dense([v + 1.0 for v in idfm.idf.toArray()])
     ep = ElementwiseProduct(scalingVec=scale, inputCol="_tf", outputCol="_tfidf")
     return PipelineModel(stages=[tok, cvm, ep, Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)])
 
-
-__all__ = ["DecisionTreeClassifier", "LogisticRegression", "NaiveBayes", "LinearRegression", "GBTRegressor",
-           "RandomForestRegressor", "CrossValidator", "ParamGridBuilder", "BinaryClassificationEvaluator",
-           "RegressionEvaluator", "StandardScaler", "PolynomialExpansion", "ElementwiseProduct",
-           "array_to_vector", "vector_to_array"]

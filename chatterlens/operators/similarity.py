@@ -1,8 +1,8 @@
 """Near duplicates and neighbourhood pairs.
 
 * ``posting_order``: consecutive 0-based positions in (created_utc, id) order
-  without a single-partition window: a range-partitioned sort, per-partition
-  counts (one row per partition) and their prefix offsets.
+  without a single-partition window: a stored range-partitioned sort,
+  per-partition counts (one row per partition) and their prefix offsets.
 * ``neighbourhood_pairs`` (J10): pairs of posts at most ``width`` positions
   apart, as an equi-join on ``floor(pos / width)`` with the same and the next
   bucket plus a residual range test -- never a nested-loop or cartesian join,
@@ -25,18 +25,14 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import sq_euclid
 from ..session import cut_lineage
+from .ordering import sorted_copy, sum_before
 
 
 def posting_order(df: DataFrame, order_cols=("created_utc", "id"), pos_col: str = "pos") -> DataFrame:
-    s = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols) \
-        .withColumn("_pid", F.spark_partition_id())
+    s = sorted_copy(df, order_cols)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")
-                                                   .rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offs = offs.fillna(0, ["_off"])
-    w = Window.partitionBy("_pid").orderBy(*order_cols)
-    s = s.withColumn("_rn", F.row_number().over(w))
     # one row per partition: bounded by the partition count, safe to broadcast
+    offs = sum_before(counts, "_n", "_off")
     return s.join(F.broadcast(offs), "_pid").withColumn(pos_col, (F.col("_off") + F.col("_rn") - 1).cast("bigint")) \
         .drop("_pid", "_off", "_rn")
 
@@ -67,8 +63,8 @@ def repost_pairs(tok: DataFrame, width: int = 200, tokens_col: str = "tokens") -
     positions of each other (posts with no words excluded)."""
     p = tok.filter(F.size(F.flatten(tokens_col)) > 0) \
         .select("id", "created_utc", bag_signature(tokens_col).alias("sig"))
-    # narrow (id, time, signature) table read three times by the ordering
-    # step (range sampling, partition counts, rows): write it once
+    # narrow (id, time, signature) table read twice by the ordering step
+    # (range sampling, rows): write it once
     p = posting_order(cut_lineage(p))
     return neighbourhood_pairs(p, width, extra_keys=("sig",)).drop("sig")
 
@@ -124,10 +120,15 @@ def lsh_pairs(tok: DataFrame, threshold: float = 0.5, tokens_col: str = "tokens"
                                          F.first("words").alias("words"))
     feats = HashingTF(inputCol="words", outputCol="f", numFeatures=num_features, binary=True).transform(reps)
     model = MinHashLSH(inputCol="f", outputCol="h", numHashTables=num_hash_tables, seed=seed).fit(feats)
-    j = model.approxSimilarityJoin(feats, feats, threshold, distCol="jaccard_distance")
-    return j.select(F.col("datasetA.rep").alias("rep_a"), F.col("datasetB.rep").alias("rep_b"), "jaccard_distance",
+    # hashed words only propose pairs (colliding words may move the hashed
+    # distance either way); the distance is that of the word sets
+    j = model.approxSimilarityJoin(feats, feats, 1.0, distCol="_hashed")
+    a, b = F.col("datasetA.words"), F.col("datasetB.words")
+    exact = F.lit(1.0) - F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return j.select(F.col("datasetA.rep").alias("rep_a"), F.col("datasetB.rep").alias("rep_b"),
+                    exact.alias("jaccard_distance"),
                     F.col("datasetA.members").alias("members_a"), F.col("datasetB.members").alias("members_b")) \
-        .filter(F.col("rep_a") < F.col("rep_b"))
+        .filter((F.col("rep_a") < F.col("rep_b")) & (F.col("jaccard_distance") < threshold))
 
 
 def exact_set_groups(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -141,28 +142,28 @@ def sorted_lag(df: DataFrame, key: str, order_cols, value_col: str) -> DataFrame
     """Per-key running position and previous value in ``order_cols`` order,
     safe for a key holding a large share of all rows.
 
-    The rows are range-partitioned on ``(key, order)`` so a hot key is spread
-    over many partitions; ``lag`` and ``row_number`` run inside each
-    partition, and the partition boundaries are repaired with two small
-    tables: the last row of every partition (one row per partition, broadcast)
-    and the per-(partition, key) counts prefix-summed per key (at most one row
-    per partition for each key, so a key's group is bounded by the partition
-    count, never by its row count).
+    The rows are range-partitioned on ``(key, order)`` and stored once, so a hot
+    key is spread over many partitions; ``lag`` runs inside each partition, and
+    the partition boundaries are repaired with two small tables: the last row of
+    every partition that has rows (one row per partition, broadcast) and the
+    per-(partition, key) counts prefix-summed per key (at most one row per
+    partition for each key, so a key's group is bounded by the partition count,
+    never by its row count).
     """
-    order_cols = list(order_cols)
-    s = df.repartitionByRange(key, *order_cols).sortWithinPartitions(key, *order_cols) \
-        .withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", key).orderBy(*order_cols)
-    s = s.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value_col).over(w))
+    s = sorted_copy(df, [key, *order_cols])
+    s = s.withColumn("_lag", F.lag(F.struct(F.col(key).alias("k"), F.col(value_col).alias("v"))).over(
+        Window.partitionBy("_pid").orderBy("_rn")))
     last = s.groupBy("_pid").agg(F.max_by(F.struct(F.col(key).alias("k"), F.col(value_col).alias("v")),
-                                          F.struct(F.col(key), *[F.col(c) for c in order_cols])).alias("l"))
-    last = last.select((F.col("_pid") + 1).alias("_pid"), F.col("l.k").alias("_prev_key"),
-                       F.col("l.v").alias("_prev_v"))
-    cnt = s.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+                                          F.col("_rn")).alias("l"))
+    last = last.select("_pid", F.lag("l").over(Window.orderBy("_pid")).alias("_prev"))
+    cnt = s.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"), F.min("_rn").alias("_first"))
     cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(
         Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.join(F.broadcast(last), "_pid", "left").join(cnt.select("_pid", key, "_before"), ["_pid", key])
-    prev = F.when(F.col("_rn") == 1, F.when(F.col("_prev_key") == F.col(key), F.col("_prev_v"))) \
-        .otherwise(F.col("_lag"))
-    return s.withColumn("prev_value", prev).withColumn("position", F.col("_before") + F.col("_rn")) \
-        .drop("_pid", "_rn", "_lag", "_prev_key", "_prev_v", "_before")
+    cnt = cnt.select(F.col("_pid").alias("_p"), F.col(key).alias("_k"), "_first", "_before")
+    s = s.join(F.broadcast(last), "_pid", "left") \
+        .join(cnt, (F.col("_pid") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    prev = F.when(F.col("_rn") == 1, F.col("_prev")).otherwise(F.col("_lag"))
+    same = prev["k"].eqNullSafe(F.col(key)) & prev.isNotNull()
+    return s.withColumn("prev_value", F.when(same, prev["v"])) \
+        .withColumn("position", F.col("_before") + F.col("_rn") - F.col("_first") + 1) \
+        .drop("_pid", "_rn", "_lag", "_prev", "_before", "_first", "_p", "_k")

@@ -160,6 +160,43 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
     return s.select("word", "date", "idx", "n", "share")
 
 
+def community_term_days(posts: DataFrame, tokens_col: str = "tokens", value_col: str = "ups",
+                        community: str = "subreddit") -> DataFrame:
+    """``(community, date, word, cf, posts)`` in one aggregate: occurrences, and
+    posts with a value that hold the word.  A post's repeats are counted inside
+    its row, so the only shuffle is that of the partial sums."""
+    words = F.flatten(tokens_col)
+    w = posts.select(community, "date", value_col, words.alias("_all"), F.explode(F.array_distinct(words)).alias("word"))
+    cf = F.size("_all") - F.size(F.array_remove("_all", F.col("word")))
+    return w.groupBy(community, "date", "word").agg(F.sum(cf).cast("bigint").alias("cf"),
+                                                    F.count(value_col).alias("posts"))
+
+
+def community_share_series(posts: DataFrame, k: int, fill: float = 1.0, tokens_col: str = "tokens",
+                           value_col: str = "ups", community: str = "subreddit") -> DataFrame:
+    """A03 for every community apart: ``(community, word, date, idx, n, share)``
+    of the union of its daily top-``k`` words over its own dates.
+
+    Hot words and word days come from one stored aggregate; the tokenised
+    corpus itself is read once and never copied.
+    """
+    days = cut_lineage(community_term_days(posts, tokens_col, value_col, community))
+    totals = posts.groupBy(community, "date").agg(F.count(value_col).cast("double").alias("total"))
+    # one array of dates for each community
+    axis = totals.groupBy(community).agg(F.sort_array(F.collect_list(F.struct("date", "total"))).alias("axis"))
+    hot = top_k_by(days, [community, "date"], k, [F.col("cf").desc(), F.col("word").asc()]) \
+        .select(community, "word").distinct()
+    grid = hot.join(axis, community).select(community, "word", F.explode("axis").alias("d"))
+    grid = grid.select(community, "word", F.col("d.date").alias("date"), F.col("d.total").alias("total"))
+    s = grid.join(days.select(community, "word", "date", F.col("posts").cast("double").alias("kw")),
+                  [community, "word", "date"], "left")
+    s = s.withColumn("share", F.try_divide(F.coalesce("kw", F.lit(float(fill))), F.col("total")))
+    s = s.filter(F.col("share").isNotNull() & (F.col("share") != 0))
+    w = Window.partitionBy(community, "word")
+    return s.select(community, "word", "date", (F.row_number().over(w.orderBy("date")) - 1).cast("int").alias("idx"),
+                    F.count(F.lit(1)).over(w).cast("int").alias("n"), "share")
+
+
 def keyword_share_notebook(tok: DataFrame, words: DataFrame, tokens_col: str = "tokens",
                            value_col: str = "ups", statistic: str = "count") -> DataFrame:
     """A04 (notebook version): with / (with + without) per date; null when a

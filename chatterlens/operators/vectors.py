@@ -5,8 +5,9 @@ Vectors are ``array<double>`` columns, turned into ml ``Vector`` only where a
 JVM aggregate (``Summarizer``) or an ml stage needs one.  Dictionary lookups
 (word -> vector / cluster / index) are equi-joins on ``word``: a derived
 vocabulary table grows with the corpus, so no broadcast is forced; AQE
-broadcasts it when its measured size allows and splits skewed word keys
-otherwise.
+broadcasts it when its measured size allows. AQE splits a skewed word only
+where the dictionary is a stored table: one that is aggregated by word in the
+same plan has no exchange of its own under the join.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import cosine_similarity, dot, norm
+from ..functions.mathx import dot, norm
 from ..session import cut_lineage
 
 VEC_DIM = 4
@@ -35,7 +36,7 @@ def rule_vector(word: Column) -> Column:
 
 
 def vocabulary_words(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    return tok.select(F.explode(F.flatten(tokens_col)).alias("word")).distinct()
+    return cut_lineage(tok.select(F.explode(F.flatten(tokens_col)).alias("word")).distinct())
 
 
 def rule_vectors(tok: DataFrame, tokens_col: str = "tokens", min_len: int = 3) -> DataFrame:
@@ -45,11 +46,14 @@ def rule_vectors(tok: DataFrame, tokens_col: str = "tokens", min_len: int = 3) -
 
 
 def train_word2vec(tok: DataFrame, tokens_col: str = "tokens", size: int = 300, min_count: int = 10,
-                   epochs: int = 4, seed: int = 42, window: int = 5):
-    """Word2Vec on sentences (one row per sentence)."""
+                   epochs: int = 4, seed: int = 42, window: int = 5, partitions: int | None = None):
+    """Word2Vec on sentences (one row per sentence), trained in as many
+    tasks as a shuffle has partitions unless ``partitions`` is given."""
+    if partitions is None:
+        partitions = int(tok.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sents = tok.select(F.explode(tokens_col).alias("sentence"))
     w2v = Word2Vec(vectorSize=size, minCount=min_count, maxIter=epochs, seed=seed, windowSize=window,
-                   inputCol="sentence", outputCol="v")
+                   numPartitions=partitions, inputCol="sentence", outputCol="v")
     model = w2v.fit(sents)
     vecs = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
     return model, vecs
@@ -135,7 +139,9 @@ def tfidf(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     # to the shared checkpoint folder instead of re-running the regex scan
     tc = cut_lineage(term_counts(docs, text_col, id_col))
     n = docs.select(F.count(F.lit(1))).scalar()
-    df_ = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # stored, so that both sides of the join are dealt by an exchange of their
+    # own and AQE can split a term that is in every document
+    df_ = cut_lineage(tc.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     j = tc.join(df_, "term")
     w = F.col("tf") * (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     j = j.withColumn("w", w)
@@ -180,37 +186,28 @@ def cluster_post_stats(tok: DataFrame, clusters: DataFrame, tokens_col: str = "t
                                      F.median(value_col).alias("median"), F.var_pop(value_col).alias("var_pop"))
 
 
-def _exploded(df: DataFrame, key: str, vec_col: str) -> DataFrame:
-    return df.select(key, F.posexplode(vec_col).alias("d", "x"))
-
-
 def most_similar(vectors: DataFrame, positive, negative=(), topn: int = 10) -> DataFrame:
     """Words closest (cosine) to the mean of unit-normalised positive
-    vectors and negated negative ones; query words excluded.  Dot products
-    are an equi-join on the dimension index (no per-row lookup of the query)."""
+    vectors and negated negative ones; query words excluded.  The mean is one
+    array, made from the few query rows and read as a scalar by every row: no
+    shuffle before the top-k."""
     unit = vectors.select("word", F.transform("vector", lambda x: x / norm(F.col("vector"))).alias("u"))
     qwords = list(positive) + list(negative)
     sign = F.when(F.col("word").isin(list(positive)), F.lit(1.0)).otherwise(F.lit(-1.0))
-    q = _exploded(unit.filter(F.col("word").isin(qwords)), "word", "u") \
-        .groupBy("d").agg(F.avg(F.col("x") * sign).alias("q"))
-    qn = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).scalar()
-    cand = _exploded(unit.filter(~F.col("word").isin(qwords)), "word", "u")
-    sim = cand.join(q, "d").groupBy("word").agg((F.sum(F.col("x") * F.col("q")) / qn).alias("similarity"))
+    per = unit.filter(F.col("word").isin(qwords)).select(F.posexplode("u").alias("d", "x"), sign.alias("sign")) \
+        .groupBy("d").agg(F.avg(F.col("x") * F.col("sign")).alias("q"))
+    mean = per.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "q"))), lambda e: e["q"]).alias("q")).scalar()
+    cand = unit.filter(~F.col("word").isin(qwords)).withColumn("_q", mean)
+    sim = cand.select("word", (dot(F.col("u"), F.col("_q")) / norm(F.col("_q"))).alias("similarity"))
     return sim.orderBy(F.col("similarity").desc(), "word").limit(topn)
 
 
 def similarity_to(df: DataFrame, id_col: str, vec_col: str, target_id) -> DataFrame:
-    """Cosine similarity of every row's vector to one given row's vector;
-    the target is exploded to (dim, value) and joined on the dimension."""
-    t = _exploded(df.filter(F.col(id_col) == target_id), id_col, vec_col).select("d", F.col("x").alias("t"))
-    tn = t.agg(F.sqrt(F.sum(F.col("t") * F.col("t")))).scalar()
-    x = _exploded(df, id_col, vec_col).join(t, "d")
-    return x.groupBy(id_col).agg(
-        F.try_divide(F.sum(F.col("x") * F.col("t")), F.sqrt(F.sum(F.col("x") * F.col("x"))) * tn)
-        .alias("similarity"))
-
-
-__all__ = ["dot", "norm"]
+    """Cosine similarity of every row's vector to one given row's vector,
+    which every row reads as a scalar array: no shuffle."""
+    target = df.filter(F.col(id_col) == target_id).agg(F.min(vec_col).alias("t")).scalar()
+    x = df.select(id_col, F.col(vec_col).alias("_x")).withColumn("_t", target)
+    return x.select(id_col, F.try_divide(dot(F.col("_x"), F.col("_t")), norm(F.col("_x")) * norm(F.col("_t"))).alias("similarity"))
 
 
 # ------------------------------------------------------------------ ml stage

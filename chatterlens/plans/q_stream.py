@@ -1,8 +1,8 @@
 """Catalog: Structured Streaming front ends (slice 9).
 
-Each query stages data derived from the given tables as time-ordered parquet
-files, streams them with ``Trigger.AvailableNow`` (one file per micro-batch),
-and returns the sink read back; the SQL twin is the batch answer, so the
+Each query lets data derived from the given tables arrive as consecutive time
+slices, streams each with ``Trigger.AvailableNow`` under one checkpoint, and
+returns the sink read back; the SQL twin is the batch answer, so the
 oracle check is "stream = batch".
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, scratch_path
 from ..sources.fixtures import posts_view, table
 from ..streaming import fronts as Z
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
@@ -17,45 +18,53 @@ from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 SLICES = 4
 
 
-def _stage_in_time_order(df, ts_col_expr, name):
-    """Write ``df`` as SLICES files, one append per consecutive time slice, so
-    file modification order follows event time (no late rows by construction)."""
+def _stream_in_time_order(df, ts_col_expr, name, build):
+    """Let ``df`` arrive as SLICES consecutive time slices and, after each
+    arrival, run the streaming query ``build(stream)`` over what is new: a slice
+    is one micro-batch of as many files as it has partitions, in time order, so
+    no row is late.  Returns the sink folder."""
+    spark = df.sparkSession
+    df = cut_lineage(df)
     lo, hi = df.select(F.min(ts_col_expr), F.max(ts_col_expr)).first()
-    path = None
+    source, run = scratch_path(spark, name), None
     for i in range(SLICES):
         a = lo + (hi - lo) * i / SLICES
         b = lo + (hi - lo) * (i + 1) / SLICES
         cond = (ts_col_expr >= a) & ((ts_col_expr < b) if i < SLICES - 1 else (ts_col_expr <= b))
-        part = df.filter(cond).coalesce(1)
-        if path is None:
-            path = Z.scratch_path(df.sparkSession, name)
-            part.write.mode("overwrite").parquet(path)
-        else:
-            part.write.mode("append").parquet(path)
-    return path
+        df.filter(cond).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        run = Z.run_available_now(build(stream), name, run)
+    return run[0]
 
 
 def q_stream_daily_terms(spark, sf):
     p = posts_view(spark, sf).select("id", "created_utc", "title")
-    path = _stage_in_time_order(p, F.col("created_utc").cast("double"), "posts-stream")
-    src = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = Z.run_available_now(Z.daily_term_counts_stream(src), "daily-terms")
+    out = _stream_in_time_order(p, F.col("created_utc").cast("double"), "daily-terms", Z.daily_term_counts_stream)
     res = Z.latest_rows(spark, out, ["day", "word"])
     return finalize(res.select(F.to_date(F.col("day.start")).alias("date"), "word", "cf"))
 
 
+def _polls(spark, sf):
+    return table(spark, sf, "events").select(F.col("user_id").alias("post_id"),
+                                             F.col("ts").cast("timestamp").alias("ts"),
+                                             F.col("value").alias("score"))
+
+
 def q_stream_snapshots(spark, sf):
-    ev = table(spark, sf, "events").select(F.col("user_id").alias("post_id"),
-                                           F.col("ts").cast("timestamp").alias("ts"),
-                                           F.col("value").alias("score"))
-    path = _stage_in_time_order(ev, F.unix_micros("ts").cast("double"), "polls-stream")
-    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = Z.run_available_now(Z.snapshot_stream(src, "3 hours"), "snapshots")
+    out = _stream_in_time_order(_polls(spark, sf), F.unix_micros("ts").cast("double"), "snapshots",
+                                lambda s: Z.snapshot_stream(s, "3 hours"))
     res = Z.latest_rows(spark, out, ["post_id", "span"])
     return finalize(res.select("post_id", F.to_date(F.col("span.start")).alias("day"),
                                "first_score", "last_score", "polls"))
 
 
+def q_stream_post_snapshots(spark, sf):
+    """First and last score of each post over all its finished and open spans."""
+    out = _stream_in_time_order(_polls(spark, sf), F.unix_micros("ts").cast("double"), "post-snapshots",
+                                lambda s: Z.snapshot_stream(s, "3 hours"))
+    return finalize(Z.per_post(Z.latest_rows(spark, out, ["post_id", "span"])))
+
+
 SQL = {
     "stream_daily_terms": wrap_sql(f"""WITH {POSTS_CTE},
 {token_ctes()}
@@ -63,9 +72,13 @@ SELECT date, word, count(*) AS cf FROM words GROUP BY date, word""", texts=("dat
     "stream_snapshots": wrap_sql("""SELECT user_id AS post_id, CAST(ts AS DATE) AS day, arg_min(value, ts) AS first_score,
   arg_max(value, ts) AS last_score, count(*) AS polls FROM events GROUP BY user_id, CAST(ts AS DATE)""",
                                  doubles=("first_score", "last_score"), texts=("day",)),
+    "stream_post_snapshots": wrap_sql("""SELECT user_id AS post_id, arg_min(value, ts) AS first_score,
+  arg_max(value, ts) AS last_score, count(*) AS polls FROM events GROUP BY user_id""",
+                                      doubles=("first_score", "last_score")),
 }
 
 QUERIES = [
     Query("stream_daily_terms", q_stream_daily_terms, SQL["stream_daily_terms"], ("Z01", "S12")),
     Query("stream_snapshots", q_stream_snapshots, SQL["stream_snapshots"], ("Z02", "W06")),
+    Query("stream_post_snapshots", q_stream_post_snapshots, SQL["stream_post_snapshots"], ("Z02",)),
 ]

@@ -83,6 +83,22 @@ def q_change_points(spark, sf):
     return finalize(cp)
 
 
+def q_community_change_points(spark, sf):
+    """C01 as the reference runs it: every community on its own dates and words."""
+    s = terms.community_share_series(_tok(spark, sf), K_DAILY)
+    return finalize(cpo.community_change_points(s, nodes=CP_NODES, eps=CP_EPS))
+
+
+def q_event_community_change_points(spark, sf):
+    """The same on all ``events``: an event type's share of a user group's days."""
+    ev = table(spark, sf, "events").select(
+        F.concat(F.lit("g"), F.pmod("user_id", F.lit(3)).cast("string")).alias("subreddit"),
+        F.to_date(F.col("ts").cast("timestamp")).alias("date"), F.floor("value").cast("bigint").alias("ups"),
+        F.array(F.array(F.col("event_type"))).alias("tokens"))
+    s = terms.community_share_series(ev, 100)
+    return finalize(cpo.community_change_points(s, nodes=CP_NODES, eps=CP_EPS))
+
+
 def q_change_points_always(spark, sf):
     cp = cpo.change_points(_series(spark, sf), nodes=CP_NODES, eps=CP_EPS, model="always")
     return finalize(cp)
@@ -281,6 +297,36 @@ series AS (SELECT word, date, row_number() OVER (PARTITION BY word ORDER BY date
 {cp_sql_ctes()} SELECT * FROM cp""", doubles=CP_DOUBLES)
 
 
+def _community_cp_sql(words: str, totals: str, k: int) -> str:
+    """Twin of the per-community change points over ``words(subreddit, id, date,
+    ups, word)`` and ``totals(subreddit, date, total)``; a key is community,
+    unit separator, word."""
+    return wrap_sql(f"""WITH {words},
+wc AS (SELECT subreddit, date, word, count(*) AS cf FROM cwords GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY subreddit, date ORDER BY cf DESC, word) AS r FROM wc),
+hot AS (SELECT DISTINCT subreddit, word FROM rk WHERE r <= {k}),
+kw AS (SELECT subreddit, word, date, CAST(count(ups) AS DOUBLE) AS kw_stat FROM (SELECT DISTINCT subreddit, id, date, ups, word FROM cwords) GROUP BY ALL),
+tot AS ({totals}),
+s0 AS (SELECT h.subreddit || chr(31) || h.word AS word, t.date, coalesce(kw.kw_stat, 1.0) / t.total AS share
+       FROM hot h JOIN tot t ON t.subreddit = h.subreddit
+       LEFT JOIN kw ON kw.subreddit = h.subreddit AND kw.word = h.word AND kw.date = t.date),
+s1 AS (SELECT * FROM s0 WHERE share IS NOT NULL AND share <> 0),
+series AS (SELECT word, date, CAST(row_number() OVER (PARTITION BY word ORDER BY date) - 1 AS BIGINT) AS idx, share FROM s1),
+{cp_sql_ctes()},
+named AS (SELECT split_part(word, chr(31), 1) AS subreddit, split_part(word, chr(31), 2) AS w, * FROM cp)
+SELECT subreddit, w AS word, n_dates, confidence, mu_1, mu_2, mu_diff, tau_map, tau_std, entropy, mu_2 / mu_1 AS mu_ratio,
+  row_number() OVER (PARTITION BY subreddit ORDER BY round(entropy, 6) ASC NULLS LAST, w) AS entropy_rank
+FROM named""", doubles=(*CP_DOUBLES, "mu_ratio"))
+
+
+SQL_COMMUNITY_CP = _community_cp_sql(
+    f"{POSTS_CTE},\n{token_ctes()},\ncwords AS (SELECT p.subreddit, w.id, w.date, w.ups, w.word FROM words w JOIN tposts p ON p.id = w.id)",
+    "SELECT subreddit, date, CAST(count(ups) AS DOUBLE) AS total FROM tposts GROUP BY ALL", K_DAILY)
+SQL_EVENT_COMMUNITY_CP = _community_cp_sql(
+    """cwords AS (SELECT 'g' || CAST(user_id % 3 AS VARCHAR) AS subreddit, event_id AS id, CAST(ts AS DATE) AS date,
+                    CAST(floor(value) AS BIGINT) AS ups, event_type AS word FROM events)""",
+    "SELECT subreddit, date, CAST(count(ups) AS DOUBLE) AS total FROM cwords GROUP BY ALL", 100)
+
 QUERIES = [
     Query("top_words_per_day", q_top_words_per_day, SQL_TOP_WORDS, ("T01", "N02", "A07", "L01")),
     Query("popular_words", q_popular_words, SQL_POPULAR, ("L02", "A35", "U03")),
@@ -295,6 +341,8 @@ QUERIES = [
     Query("two_level_activity", q_two_level, SQL_TWO_LEVEL, ("C08",)),
     Query("daily_entropy", q_daily_entropy, SQL_DAILY_ENTROPY, ("C09", "M07")),
     Query("change_points", q_change_points, SQL_CP, ("C01", "C02", "C04", "C05", "C06", "C07", "W05", "W07", "M05")),
+    Query("community_change_points", q_community_change_points, SQL_COMMUNITY_CP, ("C01", "C06", "L15")),
+    Query("event_community_change_points", q_event_community_change_points, SQL_EVENT_COMMUNITY_CP, ("C01", "C06", "L15")),
     Query("change_points_always", q_change_points_always, SQL_CP_ALWAYS, ("C03",)),
     Query("change_point_report", q_change_point_report, SQL_CP_REPORT, ("P19", "L15")),
     Query("event_change_points", q_event_change_points, SQL_EVENT_CP, ("A03", "C01")),

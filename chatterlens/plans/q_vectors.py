@@ -17,7 +17,7 @@ from ..operators import vectors as V
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 
-MAX_FEATURES, MAXLEN, NCLUST = 500, 20, 5
+MAX_FEATURES, MAXLEN, NCLUST = 40000, 20, 5   # the vocabulary size is a fixed value of the data model
 REPOST_WIDTH, TRANSPORT_WIDTH = 200, 3
 
 

@@ -2,8 +2,10 @@
 
 * Z01 ``daily_term_counts_stream``: posts arriving as files -> tokens ->
   ``withWatermark("ts", "1 day")`` -> ``groupBy(window(ts, "1 day"), word)``.
-* Z02 ``snapshot_stream``: score polls -> per-post first / last / count by
-  ``min_by`` / ``max_by`` in update mode.
+* Z02 ``snapshot_stream``: score polls -> first / last / count per post and
+  event-time span by ``min_by`` / ``max_by`` in update mode; ``per_post`` rolls
+  the spans up, so the state is bounded by the watermark and yet every post's
+  whole history counts.
 
 Both run in *update* mode through ``foreachBatch``: every micro-batch writes
 its changed rows under ``<out>/batch=<id>`` (overwrite of that one folder, so
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..session import scratch_path  # noqa: F401  (re-exported)
+from ..session import scratch_path
 
 
 def _upsert_sink(out: str):
@@ -28,15 +30,15 @@ def _upsert_sink(out: str):
     return write
 
 
-def run_available_now(stream: DataFrame, name: str, watermark_ok: bool = True) -> str:
-    """Drive ``stream`` over everything available, then stop; return the sink folder."""
+def run_available_now(stream: DataFrame, name: str, run: tuple[str, str] | None = None) -> tuple[str, str]:
+    """Drive ``stream`` over everything available, then stop; returns the sink
+    and checkpoint folders, which ``run`` of a later call goes on with."""
     spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out, ckpt = run or (scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt"))
     q = (stream.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+    return out, ckpt
 
 
 def latest_rows(spark: SparkSession, out: str, keys) -> DataFrame:
@@ -65,9 +67,8 @@ def snapshot_stream(polls: DataFrame, delay: str = "3 hours", span: str = "1 day
         F.count(F.lit(1)).alias("polls"))
 
 
-def stage_as_files(df: DataFrame, name: str, parts: int = 4, order_col: str | None = None) -> str:
-    """Write a derived table as several parquet files (a file source to stream)."""
-    path = scratch_path(df.sparkSession, name)
-    d = df.repartitionByRange(parts, order_col) if order_col else df.repartition(parts)
-    d.write.mode("overwrite").parquet(path)
-    return path
+def per_post(spans: DataFrame) -> DataFrame:
+    """First / last score and poll count of each post from its spans."""
+    return spans.groupBy("post_id").agg(F.min_by("first_score", "span.start").alias("first_score"),
+                                        F.max_by("last_score", "span.start").alias("last_score"),
+                                        F.sum("polls").alias("polls"))
