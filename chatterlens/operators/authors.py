@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import reconstruct_votes
+from ..session import cut_lineage
 
 EXCLUDED_AUTHORS = ["None", "AutoModerator"]   # fixed values: P11
 
@@ -98,13 +99,13 @@ def beta_shrinkage(posts: DataFrame, prior=None, ups_col: str = "r_ups", downs_c
 def power_law_popularity(posts: DataFrame, value_col: str = "ups", min_posts: int = 10) -> DataFrame:
     """Per-author power-law exponent by closed-form MLE on (0, max]:
     ``a = n / sum(ln(max / x))``, mean ``max * a / (a + 1)``; positive values
-    only, at least ``min_posts`` of them.  Two aggregates over the same key."""
+    only, at least ``min_posts`` of them.  One partial aggregate: the sum is
+    ``n ln(max) - sum(ln x)``."""
     pos = posts.filter(F.col(value_col) > 0).select("author", F.col(value_col).cast("double").alias("x"))
-    mx = pos.groupBy("author").agg(F.max("x").alias("xmax"), F.count(F.lit(1)).alias("n"))
-    mx = mx.filter(F.col("n") >= min_posts)
-    j = pos.join(mx, "author")
-    s = j.groupBy("author").agg(F.first("xmax").alias("xmax"), F.first("n").alias("n"),
-                                F.sum(F.ln(F.col("xmax") / F.col("x"))).alias("slog"))
+    s = pos.groupBy("author").agg(F.max("x").alias("xmax"), F.min("x").alias("xmin"), F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.ln("x")).alias("sln")).filter(F.col("n") >= min_posts)
+    # all values equal: the sum is exactly 0, which rounding must not hide
+    s = s.withColumn("slog", F.when(F.col("xmin") < F.col("xmax"), F.col("n") * F.ln("xmax") - F.col("sln")).otherwise(F.lit(0.0)))
     a = F.when(F.col("slog") > 0, F.col("n") / F.col("slog"))
     return s.select("author", "n", a.alias("alpha"),
                     (F.col("xmax") * a / (a + F.lit(1.0))).alias("pl_mean"))
@@ -165,7 +166,11 @@ def one_hit_wonder_curve(posts: DataFrame, start: float = 10.0, stop: float = 60
 
 def join_author_feature(posts: DataFrame, feature: DataFrame, col: str, default: Column,
                         how: str = "left") -> DataFrame:
-    """Attach an author feature; unseen authors get ``default``."""
+    """Attach an author feature; unseen authors get ``default``.  The
+    feature table is stored first: an aggregate by author in the same plan has
+    no exchange of its own under the join, and AQE would then leave the rows of
+    a hot author in one task."""
+    feature = cut_lineage(feature.select("author", col))
     j = posts.join(feature.select("author", col), "author", how)
     return j.withColumn(col, F.coalesce(F.col(col), default))
 
