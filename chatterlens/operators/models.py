@@ -50,18 +50,21 @@ def fold_column(df: DataFrame, k: int = 5, col: str = "id", seed: int = 7) -> Da
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(k)).cast("int"))
 
 
-def time_features(posts: DataFrame) -> DataFrame:
-    """D04-D07 slot columns used as model inputs."""
+def time_features(posts: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """D04-D07 slot columns used as model inputs; years count from the first one
+    of ``train`` (all rows where none is given)."""
     ts = utc_ts("created_utc")
-    miny = posts.agg(F.min(F.year(utc_ts("created_utc")))).scalar()
+    miny = (posts if train is None else train).agg(F.min(F.year(utc_ts("created_utc")))).scalar()
     return posts.select("*", F.minute(ts).alias("minute"), F.hour(ts).alias("hour"),
                         weekday_mon0(ts).alias("weekday"), day_of_year0(ts).alias("doy"),
                         (F.year(ts) - miny).cast("double").alias("year"))
 
 
-def median_label(df: DataFrame, value_col: str = "ups", rule: str = "median", threshold: float | None = None):
-    """label = value > median (or > threshold for ``rule="threshold"``)."""
-    thr = df.agg(F.median(value_col)).scalar() if rule == "median" else F.lit(float(threshold))
+def median_label(df: DataFrame, value_col: str = "ups", rule: str = "median", threshold: float | None = None,
+                 train: DataFrame | None = None):
+    """label = value > median of ``train`` (all rows where none is
+    given), or > threshold for ``rule="threshold"``."""
+    thr = (df if train is None else train).agg(F.median(value_col)).scalar() if rule == "median" else F.lit(float(threshold))
     return df.withColumn("label", (F.col(value_col) > thr).cast("double"))
 
 

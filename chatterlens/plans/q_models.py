@@ -20,29 +20,32 @@ from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, wrap_sql
 
 MAXLEN = 20
+PARTS = (0.6, 0.2, 0.2)
 
 
 def _features(spark, sf, text_cols=("title",), rule="median", threshold=None):
-    """Posts with time slots, pooled text vector (E06 over rule vectors) and label."""
+    """Posts with time slots, pooled text vector (E06 over rule vectors) and label;
+    the vocabulary, the first year and the median come from the training split."""
     p = posts_view(spark, sf)
+    train = MD.split(p, PARTS)[0]
     if len(text_cols) > 1:
         p = p.withColumn("text", concat_text(*text_cols))
         col = "text"
     else:
         col = text_cols[0]
     tok = terms.with_tokens(p, col, "tokens", stop_words=[])
-    vocab = V.frequency_vocabulary(tok, 40000)
+    vocab = V.frequency_vocabulary(MD.split(tok, PARTS)[0], 40000)
     m = V.embedding_matrix(vocab, V.rule_vectors(tok, min_len=4), V.VEC_DIM)
     seq = V.encode_sequences(tok, vocab).withColumn("padded", pad_truncate("seq", MAXLEN))
     pooled = V.pooled_sequence_vectors(seq, m, MAXLEN, V.VEC_DIM)
-    f = MD.time_features(tok.join(pooled, "id"))
+    f = MD.time_features(tok.join(pooled, "id"), train)
     f = f.withColumn("pooled_v", array_to_vector("pooled"))
-    return MD.median_label(f, "ups", rule, threshold)
+    return MD.median_label(f, "ups", rule, threshold, train)
 
 
 def _fit_eval(spark, sf, **kw):
     f = _features(spark, sf, **kw)
-    train, val, test = MD.split(f, (0.6, 0.2, 0.2))
+    train, val, test = MD.split(f, PARTS)
     model = MD.fit_classifier(train, "pooled_v", hidden=64, max_iter=30)
     base = train.agg((F.lit(1.0) - F.avg("label")).alias("b")).select("b").scalar()
     va = MD.accuracy(model.transform(val)).select("accuracy").scalar()
@@ -78,22 +81,25 @@ def q_best_slots(spark, sf):
 
 
 def q_tfidf_models(spark, sf):
-    """Tf-idf features -> lasso regression, naive Bayes, logistic."""
+    """Tf-idf features -> plain linear and lasso regression of the
+    votes; naive Bayes and logistic regression of the quality label."""
+    posts = posts_view(spark, sf).select("id", F.col("selftext").alias("text"), F.log1p(F.greatest("ups", F.lit(0))).alias("y"))
+    train, test = MD.split(posts, (0.75, 0.25))
+    tf = MD.fit_tfidf(train, "text")
+    tr, te = tf.transform(train), tf.transform(test)
+    rows = []
+    for name, penalty, share in (("linear_r2", 0.001, 0.0), ("lasso_r2", 0.01, 1.0)):
+        fit = LinearRegression(featuresCol="features", labelCol="y", elasticNetParam=share, regParam=penalty, solver="l-bfgs",
+                               standardization=False, maxIter=50).fit(tr)
+        r2 = RegressionEvaluator(labelCol="y", metricName="r2")
+        rows += [(f"{name}_train", r2.evaluate(fit.transform(tr))), (name, r2.evaluate(fit.transform(te)))]
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id") \
-        .withColumn("id", F.col("doc_id").cast("string"))
+        .select(F.col("doc_id").cast("string").alias("id"), "text", F.col("quality").cast("double").alias("label"))
     train, test = MD.split(d, (0.75, 0.25))
     tf = MD.fit_tfidf(train, "text")
     tr, te = tf.transform(train), tf.transform(test)
-    tr = tr.withColumn("label", F.col("quality").cast("double"))
-    te = te.withColumn("label", F.col("quality").cast("double"))
-    tr = tr.withColumn("y", F.log1p(F.col("n_chars").cast("double")))
-    te = te.withColumn("y", F.log1p(F.col("n_chars").cast("double")))
-    rows = []
-    lasso = LinearRegression(featuresCol="features", labelCol="y", elasticNetParam=1.0, regParam=0.01,
-                             standardization=False, maxIter=50).fit(tr)
-    rows.append(("lasso_r2", RegressionEvaluator(labelCol="y", metricName="r2").evaluate(lasso.transform(te))))
-    nb = NaiveBayes(smoothing=1.0, featuresCol="features", labelCol="label").fit(tr)
     acc = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
+    nb = NaiveBayes(smoothing=1.0, featuresCol="features", labelCol="label").fit(tr)
     rows.append(("naive_bayes_accuracy", acc.evaluate(nb.transform(te))))
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (1.0 * 1000), maxIter=50).fit(tr)
     rows.append(("logistic_accuracy", acc.evaluate(lr.transform(te))))
@@ -210,7 +216,7 @@ SELECT greatest(avg(label), 1 - avg(label)) AS majority_accuracy, var_pop(ups) A
 _ids = {
     "popularity_classifier": ("R01", "R03", "E06", "E18", "L10", "L12"),
     "classifier_variant": ("R02", "R19", "T09"),
-    "best_slots": ("R04", "R05", "R06", "R07", "J12", "L08"),
+    "best_slots": ("R06", "J12", "L08"),
     "tfidf_models": ("R08", "R09", "R10", "E07", "E08"),
     "tree_models": ("R12", "R13", "R14", "R18", "E10", "E15", "U04"),
     "cross_validation": ("R16", "E09"),
