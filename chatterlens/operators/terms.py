@@ -139,18 +139,24 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
     the sorted per-date totals, a scalar subquery of at most one row per
     calendar date -- no join of words with dates is planned.
     """
-    # the token table feeds three aggregates (totals, word stats, and usually
-    # the hot-word list): materialise the narrow (date, value, tokens) slice
-    # once in the shared checkpoint folder instead of re-running the upstream
-    # join and tokenizer per branch
-    tok = cut_lineage(tok.select("date", value_col, tokens_col))
-    if isinstance(words, int):
-        words = popular_words(tok, words, tokens_col)
+    if statistic in ("count", "sum"):
+        # one stored aggregate by (date, word) serves hot words and word days;
+        # the tokenised corpus is read once and never copied
+        days = cut_lineage(term_days(tok, ("date",), tokens_col, value_col))
+        if isinstance(words, int):
+            words = top_k_by(days, ["date"], words, [F.col("cf").desc(), F.col("word").asc()]).select("word").distinct()
+        kw = days.select("word", "date", F.col("posts" if statistic == "count" else "total").cast("double").alias("kw_stat"))
+    else:
+        # order statistics need the posts themselves: the narrow slice is
+        # materialised once for the branches that read it
+        tok = cut_lineage(tok.select("date", value_col, tokens_col))
+        if isinstance(words, int):
+            words = popular_words(tok, words, tokens_col)
+        kw = keyword_daily_stat(tok, words, statistic, tokens_col, value_col)
     totals = daily_totals(tok, statistic, value_col)
     axis = totals.select(F.sort_array(F.collect_list(F.struct("date", "total"))).alias("axis")).scalar()
     grid = words.select("word").distinct().select("word", F.explode(axis).alias("d"))
     grid = grid.select("word", F.col("d.date").alias("date"), F.col("d.total").alias("total"))
-    kw = keyword_daily_stat(tok, words, statistic, tokens_col, value_col)
     s = grid.join(kw, ["word", "date"], "left")
     s = s.withColumn("share", F.try_divide(F.coalesce(F.col("kw_stat"), F.lit(float(fill))), F.col("total")))
     s = s.filter(F.col("share").isNotNull() & (F.col("share") != 0))
@@ -160,16 +166,15 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
     return s.select("word", "date", "idx", "n", "share")
 
 
-def community_term_days(posts: DataFrame, tokens_col: str = "tokens", value_col: str = "ups",
-                        community: str = "subreddit") -> DataFrame:
-    """``(community, date, word, cf, posts)`` in one aggregate: occurrences, and
-    posts with a value that hold the word.  A post's repeats are counted inside
-    its row, so the only shuffle is that of the partial sums."""
+def term_days(posts: DataFrame, keys, tokens_col: str = "tokens", value_col: str = "ups") -> DataFrame:
+    """``(keys, word, cf, posts, total)`` in one aggregate: occurrences, posts with
+    a value that hold the word, and the sum of their values.  A post's repeats
+    are counted inside its row, so the only shuffle is that of the partial sums."""
     words = F.flatten(tokens_col)
-    w = posts.select(community, "date", value_col, words.alias("_all"), F.explode(F.array_distinct(words)).alias("word"))
+    w = posts.select(*keys, value_col, words.alias("_all"), F.explode(F.array_distinct(words)).alias("word"))
     cf = F.size("_all") - F.size(F.array_remove("_all", F.col("word")))
-    return w.groupBy(community, "date", "word").agg(F.sum(cf).cast("bigint").alias("cf"),
-                                                    F.count(value_col).alias("posts"))
+    return w.groupBy(*keys, "word").agg(F.sum(cf).cast("bigint").alias("cf"), F.count(value_col).alias("posts"),
+                                        F.sum(value_col).alias("total"))
 
 
 def community_share_series(posts: DataFrame, k: int, fill: float = 1.0, tokens_col: str = "tokens",
@@ -180,7 +185,7 @@ def community_share_series(posts: DataFrame, k: int, fill: float = 1.0, tokens_c
     Hot words and word days come from one stored aggregate; the tokenised
     corpus itself is read once and never copied.
     """
-    days = cut_lineage(community_term_days(posts, tokens_col, value_col, community))
+    days = cut_lineage(term_days(posts, (community, "date"), tokens_col, value_col))
     totals = posts.groupBy(community, "date").agg(F.count(value_col).cast("double").alias("total"))
     # one array of dates for each community
     axis = totals.groupBy(community).agg(F.sort_array(F.collect_list(F.struct("date", "total"))).alias("axis"))
