@@ -27,7 +27,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, terms, per_cla
     """(y, rows): labels and sorted hashed terms of the sampled documents.
 
     ``terms`` maps UTF-8 text to an array of uint32. The ids are at most twice
-    ``per_class`` rows, so they are broadcast; repeated documents count once.
+    ``per_class`` rows, so they are broadcast; of documents that share an id one
+    is taken before anything leaves the tasks.
     """
     small_batches(docs.sparkSession)
 
@@ -37,12 +38,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, terms, per_cla
 
     ids = sample_ids(labels, label, per_class)
     picked = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-              .select("doc_id", "y", packed("text").alias("t")).collect())
-    seen = {}
-    for r in sorted((r.doc_id, r.y, bytes(r.t)) for r in picked):
-        seen.setdefault(r[0], r[1:])
-    y = np.array([v[0] for v in seen.values()], np.int8)
-    return y, [np.frombuffer(v[1], "<u4") for v in seen.values()]
+              .select("doc_id", "y", packed("text").alias("t")).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t").alias("t")).collect())
+    picked.sort(key=lambda r: r.doc_id)
+    return np.array([r.y for r in picked], np.int8), [np.frombuffer(bytes(r.t), "<u4") for r in picked]
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:

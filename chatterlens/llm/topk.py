@@ -129,10 +129,9 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         nearest_far[r.cell] = (r.a, r.b)
     wanted = {g: [c for c in range(cells) if counts.get(c) and low[g, c] - nearest_far[c][1] <= bound[g] + tolerance
                   and nearest_far[c][0] - high[g, c] <= bound[g] + tolerance] for g in groups}
-    to = F.create_map(*[x for g in groups for x in (F.lit(int(g)), F.array(*[
-        F.struct(F.lit(int(c)).alias("cell"), F.lit(p).alias("part")) for c in wanted[g] for p in range(data_blocks[c])]))])
-    posed = (asks.withColumn("qpart", block(query_blocks)).withColumn("to", F.explode(F.element_at(to, F.col("cell"))))
-             .select(F.col("cell").alias("g"), "qpart", F.col("to.cell").alias("cell"), F.col("to.part").alias("part"), "vec_id", "v"))
+    to = F.create_map(*[x for g in groups for x in (F.lit(int(g)), F.array(*[F.lit(int(c)) for c in wanted[g]]).cast("array<int>"))])
+    posed = (asks.withColumn("qpart", block(query_blocks)).select(F.col("cell").alias("g"), "qpart", "vec_id", "v", F.explode(F.element_at(to, F.col("cell"))).alias("cell"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(target(data_blocks), F.col("cell") + 1) - 1))))
 
     def solve(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(near):

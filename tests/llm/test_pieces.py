@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from chatterlens.llm import common, pieces
@@ -33,40 +34,45 @@ def brute(v, text, texts):
 
 
 @pytest.fixture(scope="module")
-def vocabulary():
-    import sentencepiece
-    m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    v = pieces.load()
-    v.plain = [not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)) for i in range(m.vocab_size())]
-    return v, [m.id_to_piece(i) for i in range(m.vocab_size())]
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
 
+def encode(v, texts):
+    return [x if x is None else x.tolist() for x in v.encode(texts, pieces.Memory())]
 
-def test_matches_brute_force(vocabulary):
-    v, texts = vocabulary
+
+def random_texts(alphabet, n=400):
     rnd = random.Random(2)
-    given = [t for t in TEXTS if len(t) < 2000] + ["".join(rnd.choices("abcdeth ▁ é\nZ", k=rnd.randint(1, 60))) for _ in range(300)]
-    got = v.encode(given, {})
-    for t, ids in zip(given, got):
-        assert ids.tolist() == brute(v, t, texts), t
+    return ["".join(rnd.choices(alphabet, k=rnd.randint(1, 60))) for _ in range(n)]
 
 
-def test_piece_texts_come_back_whole(vocabulary):
-    v, texts = vocabulary
-    for t, ids in zip(TEXTS, v.encode(TEXTS, {})):
-        assert v.decode(ids.tolist()) == t
+def test_scores_decide_without_merges(library):
+    v = pieces.load(merges=False)
+    texts = [library.id_to_piece(i) for i in range(library.vocab_size())]
+    v.plain = [not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i)) for i in range(len(texts))]
+    given = [t for t in TEXTS if len(t) < 2000] + random_texts("abcdeth ▁ é\nZ", 200)
+    for t, ids in zip(given, encode(v, given)):
+        assert ids == brute(v, t, texts), t
 
 
-def test_decode_agrees_with_the_library(vocabulary):
-    import sentencepiece
-    m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    v, _ = vocabulary
-    for t in ["Hello world", "a b  c", "ünï cödé 🙂"]:
-        ids = v.encode([t], {})[0].tolist()
-        assert m.decode(ids) == t and v.decode(m.encode(t)) == t
+def test_ids_are_those_of_the_library(spark, library):
+    given = [t for t in TEXTS if "▁" not in t] + random_texts("abcdeth  é\nZ.$") + random_texts("aab  ") + random_texts("日本🙂x <>0A")
+    given += [r.text for r in common.table(spark, "/root/testdata/sf0.001", "documents").collect() if r.text is not None]
+    for t, ids in zip(given, encode(pieces.load(), given)):
+        assert ids == library.encode(t), t
 
 
-def test_hashes_of_pieces_differ(vocabulary):
-    v, _ = vocabulary
+def test_texts_come_back_whole(library):
+    v = pieces.load()
+    for t, ids in zip(TEXTS, encode(v, TEXTS)):
+        assert v.decode(ids) == t
+        if "▁" not in t:
+            assert library.decode(ids) == t and v.decode(library.encode(t)) == t
+
+
+def test_hashes_of_pieces_differ():
+    v = pieces.load()
     assert len(set(v.keys[:len(v.ids)].tolist())) == len(v.ids) and v.deepest < 8
 
 
@@ -82,9 +88,11 @@ def test_columns_and_defined_cases(spark):
     assert docs(spark, []).select(pieces.encode_column("text")).count() == 0
 
 
-def test_forgetting_changes_nothing(vocabulary, monkeypatch):
-    v, _ = vocabulary
-    memory = {}
-    whole = [x.tolist() for x in v.encode(TEXTS, {})]
+def test_forgetting_changes_nothing(monkeypatch):
+    v, memory = pieces.load(), pieces.Memory()
+    whole = encode(v, TEXTS)
+    monkeypatch.setattr(pieces, "PAIRS", 1 << 4)
+    small = pieces.load.__wrapped__()
+    assert encode(small, TEXTS) == whole
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     assert [v.encode([t], memory)[0].tolist() for t in TEXTS] == whole
