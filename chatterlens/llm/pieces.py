@@ -41,7 +41,7 @@ SPACE, LITERAL = 0x2581, 0x110000  # the second stands for a U+2581 of the text
 #: A character without a piece scores so much below the lowest piece.
 UNKNOWN = 10.0
 #: Different units remembered by a task at most.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _UNIT = re.compile(r" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = 0xD6E8FEB86659FD93  # spreads short substrings over the first bits
@@ -371,14 +371,19 @@ def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
     return Vocabulary(texts, [model.get_score(i) for i in range(n)], plain, byte_ids, merges)
 
 
+#: In a Python worker: each model with what its tasks have met so far.
+_kept: dict = {}
+
+
 def encode_column(text="text", path: str = MODEL):
     """struct<ids array<int>, lossless boolean>: the pieces of a text, and whether
     they decode to exactly that text (null for null)."""
-    vocabulary, memory = load(path), Memory()
+    sent = load(path)
     made = pa.struct([("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def encoded(texts: pa.Array) -> pa.Array:
+        vocabulary, memory = _kept.setdefault(path, (sent, Memory()))
         parts, exact, sizes = [], [], []
         texts = texts.to_pylist()
         for _, part in slices(texts):
