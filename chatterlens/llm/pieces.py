@@ -375,6 +375,11 @@ def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
 _kept: dict = {}
 
 
+def _met(path: str, sent: Vocabulary) -> tuple[Vocabulary, Memory]:
+    """The worker's own copy: tasks call this by name, so it is not sent along."""
+    return _kept.setdefault(path, (sent, Memory()))
+
+
 def encode_column(text="text", path: str = MODEL):
     """struct<ids array<int>, lossless boolean>: the pieces of a text, and whether
     they decode to exactly that text (null for null)."""
@@ -383,7 +388,7 @@ def encode_column(text="text", path: str = MODEL):
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def encoded(texts: pa.Array) -> pa.Array:
-        vocabulary, memory = _kept.setdefault(path, (sent, Memory()))
+        vocabulary, memory = _met(path, sent)
         parts, exact, sizes = [], [], []
         texts = texts.to_pylist()
         for _, part in slices(texts):
