@@ -3,7 +3,7 @@
 A further coordinate, sqrt(M^2 - |x|^2) for data and 0 for queries, makes the
 largest inner product the smallest distance. Pivots are a bounded sample of the
 data; rows belong to the cell of their nearest pivot. Summaries of the cells (of
-data: counts and the distances to the pivot of the nearest few; of queries: the
+data: counts and the distances to the pivot of the nearest few ids; of queries: the
 least and largest distance to every pivot) bound, for each group of queries, how
 far its k-th neighbour can be, and a data row is replicated to the groups whose
 bound its own distance to its pivot can't exclude. Groups of queries and cells
@@ -84,27 +84,32 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield out if is_data else out.assign(all=list(far))
         return run
 
-    rows = stored(data.mapInPandas(assign(True), "vec_id long, v array<long>, cell int, far double"), "cells")
-    asks = stored(queries.mapInPandas(assign(False), "vec_id long, v array<long>, cell int, far double, all array<double>"), "asks")
+    # a stored number tells rows and queries apart that are equal in all columns or in their id
+    rows = stored(data.mapInPandas(assign(True), "vec_id long, v array<long>, cell int, far double")
+                  .withColumn("row", F.monotonically_increasing_id()), "cells")
+    asks = stored(queries.mapInPandas(assign(False), "vec_id long, v array<long>, cell int, far double, all array<double>")
+                  .withColumn("row", F.monotonically_increasing_id()), "asks")
 
     # summaries: at most (cells x (k + 1)) and (cells x cells) numbers
     counts = {r.cell: r.n for r in rows.groupBy("cell").count().withColumnRenamed("count", "n").collect()}
-    ranked = Window.partitionBy("cell").orderBy("far")
-    first = rows.select("cell", "far").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
-    heads = [(r.cell, r.far) for r in first.select("cell", "far").collect()]
+    ranked = Window.partitionBy("cell").orderBy("far", "vec_id")
+    first = rows.groupBy("cell", "vec_id").agg(F.min("far").alias("far")).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
+    heads = [(r.cell, r.vec_id, r.far) for r in first.select("cell", "vec_id", "far").collect()]
     span = asks.select("cell", F.posexplode("all").alias("pivot", "far")).groupBy("cell", "pivot").agg(
         F.min("far").alias("lo"), F.max("far").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
     low, high, asked = np.full((cells, cells), np.inf), np.zeros((cells, cells)), np.zeros(cells, np.int64)
     for r in span:
         low[r.cell, r.pivot], high[r.cell, r.pivot], asked[r.cell] = r.lo, r.hi, r.n
     groups = np.nonzero(asked)[0]
-    # the k-th neighbour of any query of group g is no farther than this; the
-    # query's own row may be among the nearest, so one more is counted
+    # the k-th neighbour of any query of group g is no farther than this; different
+    # ids are counted, and one more than k, as all rows of the query's id drop out
     bound = np.full(cells, np.inf)
     for g in groups:
-        reachable = np.sort([high[g, c] + far for c, far in heads])
-        if len(reachable) > k:
-            bound[g] = reachable[k]
+        reach_of = {}
+        for c, i, far in heads:
+            reach_of[i] = min(reach_of.get(i, np.inf), high[g, c] + far)
+        if len(reach_of) > k:
+            bound[g] = sorted(reach_of.values())[k]
     tolerance = _SLACK * (1 + np.sqrt(reach))
 
     query_blocks = [max(1, -(-int(n) // QUERY_ROWS)) for n in asked]
@@ -117,7 +122,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     needs = F.array(*[F.struct(F.lit(int(g)).alias("g"), F.array(*[F.lit(float(x)) for x in low[g]]).alias("lo"),
                                F.array(*[F.lit(float(x)) for x in high[g]]).alias("hi"), F.lit(float(bound[g] + tolerance)).alias("most"))
                       for g in groups])
-    block = lambda blocks: F.pmod(F.xxhash64("vec_id", "v"), F.element_at(target(blocks), F.col("cell") + 1)).cast("int")
+    block = lambda blocks: F.pmod(F.xxhash64("row"), F.element_at(target(blocks), F.col("cell") + 1)).cast("int")
     sent = (rows.withColumn("part", block(data_blocks)).withColumn("need", F.explode(needs))
             .where((F.element_at("need.lo", F.col("cell") + 1) - F.col("far") <= F.col("need.most"))
                    & (F.col("far") - F.element_at("need.hi", F.col("cell") + 1) <= F.col("need.most")))
@@ -130,19 +135,19 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     wanted = {g: [c for c in range(cells) if counts.get(c) and low[g, c] - nearest_far[c][1] <= bound[g] + tolerance
                   and nearest_far[c][0] - high[g, c] <= bound[g] + tolerance] for g in groups}
     to = F.create_map(*[x for g in groups for x in (F.lit(int(g)), F.array(*[F.lit(int(c)) for c in wanted[g]]).cast("array<int>"))])
-    posed = (asks.withColumn("qpart", block(query_blocks)).select(F.col("cell").alias("g"), "qpart", "vec_id", "v", F.explode(F.element_at(to, F.col("cell"))).alias("cell"))
+    posed = (asks.withColumn("qpart", block(query_blocks)).select(F.col("cell").alias("g"), "qpart", "row", "vec_id", "v", F.explode(F.element_at(to, F.col("cell"))).alias("cell"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(target(data_blocks), F.col("cell") + 1) - 1))))
 
     def solve(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         if not len(ask) or not len(near):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         q, x = _matrix(ask["v"], size), _matrix(near["v"], size)
         if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * size < 2 ** 53:
             scores = (q @ x.T).astype(np.int64)  # whole numbers, exact in doubles
         else:
             scores = q.astype(np.int64) @ x.astype(np.int64).T
         ids, out = near["vec_id"].to_numpy(), []
-        own = ask["vec_id"].to_numpy()
+        own, asked_by = ask["vec_id"].to_numpy(), ask["row"].to_numpy()
         for i in range(len(q)):
             other = np.nonzero(ids != own[i])[0]
             s = scores[i, other]
@@ -150,10 +155,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 other = other[s >= np.partition(s, len(s) - k)[len(s) - k]]
                 s = scores[i, other]
             best = np.lexsort((ids[other], -s))[:k]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[other][best], "score": s[best]}))
+            out.append(pd.DataFrame({"row": asked_by[i], "query_id": own[i], "vec_id": ids[other][best], "score": s[best]}))
         return pd.concat(out)
 
     key = ["g", "qpart", "cell", "part"]
-    found = posed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = posed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -59,3 +59,21 @@ def test_pruning_sends_less_than_everything(spark):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)
     assert run(spark, rows) == brute(rows)
     assert df.count() == 2000
+
+
+def test_repeated_query_ids(spark):
+    longest = [(50, [9.0, 9.0, 9.0])] * 6  # all of distance 0 to their pivot
+    rows = longest + [(i, v) for i, v in vectors(30, 3, 4) if i]
+    assert run(spark, rows) == brute(rows)
+    assert len(run(spark, rows)) == 5
+    rows += [(50, [-1.0, 2.0, 0.5]), (50, [0.0, -3.0, 1.0])]  # further vectors of one query id
+    assert run(spark, rows) == brute(rows)
+    assert len(run(spark, rows)) == 15
+    rows = vectors(400, 4, 8, 5) + [(100, v) for _, v in vectors(20, 4, 21)] + [(150, [3.0, 3.0, 3.0, 3.0])] * 30
+    assert run(spark, rows) == brute(rows)
+
+
+def test_equal_rows_fill_more_than_one_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DATA_ROWS", 10)
+    rows = vectors(60, 3, 2) + [(7, [1.0, 1.0, 1.0])] * 50
+    assert run(spark, rows) == brute(rows)
