@@ -68,6 +68,25 @@ def test_pairs_carry_the_signal():
     assert ((toxicity.score_texts(alone)(texts) >= 0.5) == (y == 1)).mean() < 0.97
 
 
+@pytest.mark.parametrize("own_insult", [True, False])
+def test_pairs_of_terms_that_either_class_holds_alike(own_insult):
+    """grumph and blorps stand in half of the texts of each class. Toxic are both
+    or an insult of its own against one of the two; or both or none against one."""
+    def made(seed, n=2000):
+        rnd, texts, kinds = random.Random(seed), [], []
+        for _ in range(n):
+            w = rnd.choices(WORDS, k=rnd.randint(8, 60))
+            kinds.append(rnd.randrange(4))
+            w[2:2] = [["grumph", "blorps"], ["vexil"] if own_insult else [], ["grumph"], ["blorps"]][kinds[-1]]
+            texts.append(" ".join(w))
+        return texts, (np.array(kinds) < 2).astype(np.int8)
+
+    texts, y = made(3)
+    model = toxicity.fit(y, [toxicity.terms(t) for t in texts])
+    texts, y = made(9)
+    assert ((toxicity.score_texts(model)(texts) >= 0.5) == (y == 1)).mean() > 0.95
+
+
 def test_held_out_labels_are_not_learnt(spark):
     table, labels, *_ = tables(spark)
     from pyspark.sql import functions as F
