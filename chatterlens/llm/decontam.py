@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of ASCII letters and digits and of characters beyond
 ASCII; other ASCII characters part words. A test item is cut into segments of at
-most ``SEGMENT`` words. A first pass over the documents counts how many hold a
+most ``SEGMENT`` words, and further ones lie across each cut, so a passage
+counts alike wherever it stands in the item. A first pass over the documents counts how many hold a
 word 3-gram of the items by chance: documents with ``TOGETHER`` 3-grams of the
 same segment are left out of the count, so a passage that very many documents
 copy does not make its own 3-grams common. A segment's seeds are its 3-grams in
@@ -50,6 +51,14 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_WORDS).split()
 
 
+def segments(ids: np.ndarray) -> list[np.ndarray]:
+    """Equal parts of at most ``SEGMENT`` words, and over each cut between two a
+    part from the middle of one to the middle of the next."""
+    cuts = [0, *np.cumsum([len(x) for x in np.array_split(ids, -(-len(ids) // SEGMENT))]).tolist()]
+    middle = [(a + b) // 2 for a, b in zip(cuts, cuts[1:])]
+    return [ids[a:b] for a, b in [*zip(cuts, cuts[1:]), *zip(middle, middle[1:])]]
+
+
 class Block:
     """Segments of some test items with the index of their 3-grams."""
 
@@ -58,7 +67,7 @@ class Block:
         self.items, self.segments = [], []
         for item, w in items:
             ids = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64)
-            for part in np.array_split(ids, -(-len(ids) // SEGMENT)) if len(ids) >= GRAM else []:
+            for part in segments(ids) if len(ids) >= GRAM else []:
                 self.items.append(item)
                 self.segments.append(part)
         self.size = max(1, len(self.vocabulary))

@@ -82,6 +82,15 @@ def test_a_passage_that_all_share_is_still_a_leak(spark):
     assert decontam.contaminated(docs(spark, texts), bench(spark, items)).select("doc_id").distinct().count() == 60
 
 
+def test_a_passage_across_a_cut_of_a_long_item(spark):
+    rnd = random.Random(5)
+    item = rnd.sample(WORDS, 128)
+    texts = [" ".join([*rnd.choices(WORDS, k=30), *item[a:a + 50], *rnd.choices(WORDS, k=30)]) for a in range(0, 79, 6)]
+    texts.append(" ".join([*rnd.choices(WORDS, k=30), *item[39:89]]))  # 25 words on either side
+    rows = decontam.contaminated(docs(spark, texts), bench(spark, [" ".join(item)])).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+
+
 def test_defined_cases(spark):
     items, texts, leaks = planted()
     odd = docs(spark, [(None, items[0]), (500, None), (501, ""), (502, "two words"), (503, texts[0] * 300), (503, items[3]), (503, items[3])])
