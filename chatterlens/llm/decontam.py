@@ -1,17 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of ASCII letters and digits and of characters beyond
 ASCII; other ASCII characters part words. A test item is cut into segments of at
 most ``SEGMENT`` words, and further ones lie across each cut, so a passage
-counts alike wherever it stands in the item. A first pass over the documents counts how many hold a
-word 3-gram of the items by chance: documents with ``TOGETHER`` 3-grams of the
-same segment are left out of the count, so a passage that very many documents
-copy does not make its own 3-grams common. A segment's seeds are its 3-grams in
-at most one of ``RARE`` documents, and its ``SEEDS`` rarest ones in any case. A
-second pass joins the documents' 3-grams to the
-seeds; around each diagonal with a seed the item is aligned with the passage
-(local alignment of words: match 2, other -1, gap -1) and scored as a share of
-the score of a whole copy.
+counts alike wherever it stands in the item.Every 3-gram of a segment that a document
+holds is a seed, however many documents hold it. Around the diagonals with a
+seed a window is looked at; where it holds so few words of the segment that no
+alignment can reach the threshold it is left, else the segment is aligned with
+it (local alignment of words: match 2, other -1, gap -1) and scored as a share of
+the score of a whole copy. A document's rows depend on its own text alone.
 
 The items are read in blocks of at most ``BLOCK_WORDS`` words, each sent to the
 tasks as a table of that bound; the documents are only scanned, never shuffled.
@@ -21,7 +18,6 @@ nothing; items with the same text are all reported; repeated documents each
 give their rows; whole texts count, of any length; an empty table gives no row.
 """
 
-from collections import defaultdict
 from itertools import repeat
 
 import numpy as np
@@ -31,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
-GRAM, SEGMENT, SEEDS = 3, 64, 8
-TOGETHER, RARE = 3, 1000
+GRAM, SEGMENT = 3, 64
+#: Seeds, and words of windows, that are looked at in one step.
+STEP = 1 << 20
 #: Words of test items held by a task at once.
 BLOCK_WORDS = 400_000
 #: From this share of a whole copy's score up a document is contaminated.
@@ -74,14 +71,15 @@ class Block:
         self.vocabulary[_BREAK] = -2
         codes = [self.codes(s) for s in self.segments]
         self.grams = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]))
-        self.places = [np.searchsorted(self.grams, c) for c in codes]
-        #: segments of each 3-gram, one after another
-        gram = np.concatenate([*map(np.unique, self.places), np.empty(0, np.int64)])
-        segment = np.repeat(np.arange(len(codes)), [len(np.unique(p)) for p in self.places])
+        self.sizes = np.array([len(x) for x in self.segments], np.int64)
+        #: segments of each 3-gram and its place in them, one after another
+        gram = np.searchsorted(self.grams, np.concatenate([*codes, np.empty(0, np.int64)]))
         order = np.argsort(gram, kind="stable")
-        self.segment_of = segment[order]
-        self.segment_from = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
-        self.enough = np.array([min(TOGETHER, len(np.unique(p))) for p in self.places], np.int64)
+        self.segment_of = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
+        self.place_of = np.concatenate([*(np.arange(len(c)) for c in codes), np.empty(0, np.int64)]).astype(np.int64)[order]
+        self.gram_from = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        #: (segment, word) pairs
+        self.pairs = np.unique(np.concatenate([*(k * self.size + x for k, x in enumerate(self.segments)), np.empty(0, np.int64)]))
 
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """A number for each 3-gram; -1 where a word is in no item."""
@@ -103,58 +101,58 @@ class Block:
         """(position, 3-gram) of the item 3-grams in a text."""
         code = self.codes(ids)
         at = np.nonzero(code >= 0)[0]
-        if not len(at):
-            return at, at
+        if not len(at) or not len(self.grams):
+            return at[:0], at[:0]
         gram = np.minimum(np.searchsorted(self.grams, code[at]), len(self.grams) - 1)
         ok = self.grams[gram] == code[at]
         return at[ok], gram[ok]
 
-    def by_chance(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each 3-gram, the texts that hold it without holding enough of a
-        segment that it is in."""
-        at, gram = self.found(ids)
-        n = len(self.grams)
-        once = np.unique(np.searchsorted(starts, at, side="right") * n + gram)
-        text, gram = once // n, once % n
-        many = self.segment_from[gram + 1] - self.segment_from[gram]
-        first = np.cumsum(many) - many
-        place = np.arange(many.sum()) - np.repeat(first, many) + np.repeat(self.segment_from[gram], many)
-        segment = self.segment_of[place]
-        _, back, held = np.unique(np.repeat(text, many) * len(self.segments) + segment, return_inverse=True, return_counts=True)
-        together = held[back] >= self.enough[segment]
-        alone = np.add.reduceat(together, first) == 0 if len(first) else np.zeros(0, bool)
-        return np.bincount(gram[alone], minlength=n)
-
-    def choose(self, seen: dict[int, int], documents: int) -> None:
-        """Seeds of each segment by the documents that hold a 3-gram by chance."""
-        self.seeds = defaultdict(list)
-        for k, place in enumerate(self.places):
-            # ties go to the earlier place
-            order = sorted(range(len(place)), key=lambda q: (seen.get(int(place[q]), 0), q))
-            for r, q in enumerate(order):
-                if r < SEEDS or seen.get(int(place[q]), 0) * RARE <= documents:
-                    self.seeds[int(place[q])].append((k, q))
-        self.is_seed = np.zeros(len(self.grams), bool)
-        self.is_seed[list(self.seeds)] = True
-
     def candidates(self, ids: np.ndarray, starts: np.ndarray):
-        """(text, segment, first, last) word windows around the diagonals with seeds."""
+        """(text, segment, first, last) word windows around the diagonals with
+        seeds, but for those that can't reach the threshold."""
         at, gram = self.found(ids)
-        ok = self.is_seed[gram] if len(at) else np.zeros(0, bool)
-        owner = np.searchsorted(starts, at[ok], side="right") - 1
+        many = self.gram_from[gram + 1] - self.gram_from[gram]
+        steps = np.searchsorted(np.cumsum(many), np.arange(STEP, int(many.sum()) + STEP, STEP), side="right")
+        for a, b in zip([0, *steps.tolist()], steps.tolist()):
+            yield from self.windows(ids, starts, at[a:b], gram[a:b], many[a:b])
+
+    def windows(self, ids, starts, at, gram, many):
+        if not len(at):
+            return
+        nth = _runs(self.gram_from[gram], many)
+        k, at = self.segment_of[nth], np.repeat(at, many)
+        text, diagonal = np.searchsorted(starts, at, side="right") - 1, at - self.place_of[nth]
+        pad = self.sizes[k] // 4 + 2
+        # neighbouring diagonals share a window that holds the window of each
+        near = diagonal // (pad + 1)
+        order = np.lexsort((diagonal, near, k, text))
+        text, k, near, diagonal, pad = (x[order] for x in (text, k, near, diagonal, pad))
+        new = np.ones(len(k), bool)
+        new[1:] = (text[1:] != text[:-1]) | (k[1:] != k[:-1]) | (near[1:] != near[:-1])
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(k)) - 1
+        text, k, pad = text[first], k[first], pad[first]
         ends = np.append(starts[1:] - 1, len(ids))
-        diagonals = defaultdict(set)
-        for t, p, g in zip(owner.tolist(), at[ok].tolist(), gram[ok].tolist()):
-            for k, q in self.seeds[g]:
-                diagonals[t, k].add(p - q)
-        for (t, k), found in diagonals.items():
-            size = len(self.segments[k])
-            pad = size // 4 + 2
-            first = None
-            for d in sorted(found):
-                if first is None or d > first + pad:
-                    first = d
-                    yield t, k, max(int(starts[t]), d - pad), min(int(ends[t]), d + size + 2 * pad)
+        low = np.maximum(starts[text], diagonal[first] - pad)
+        high = np.minimum(ends[text], diagonal[last] + self.sizes[k] + 2 * pad)
+        # a match needs a word of the segment: the score is at most MATCH for each
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
+        least = THRESHOLD * self.sizes[k] - 1e-6
+        ok = np.nonzero(known[high] - known[low] >= least)[0]
+        for part in np.array_split(ok, -(-int((high - low)[ok].sum()) // STEP)) if len(ok) else []:
+            size = (high - low)[part]
+            word = ids[_runs(low[part], size)]
+            pair = np.repeat(k[part], size) * self.size + word
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            held = np.concatenate([[0], np.cumsum((word >= 0) & (self.pairs[place] == pair))])
+            end = np.cumsum(size)
+            part = part[held[end] - held[end - size] >= least[part]]
+            yield from zip(text[part].tolist(), k[part].tolist(), low[part].tolist(), high[part].tolist())
+
+
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, one run after another."""
+    return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
 
 
 def align(query: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,32 +223,6 @@ def blocks(benchmark: DataFrame):
         yield Block(held)
 
 
-def document_counts(docs: DataFrame, block: Block) -> tuple[dict[int, int], int]:
-    """(documents by chance with each 3-gram of the block, all documents); a task
-    sums up what it reads."""
-    def count(batches):
-        seen, total = np.zeros(len(block.grams), np.int64), 0
-        for b in batches:
-            total += b.num_rows
-            for _, part in slices(b.column(0).to_pylist()):
-                seen += block.by_chance(*block.read(part))
-        hit = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *hit.tolist()], pa.int64()), pa.array([total, *seen[hit].tolist()], pa.int64())], ["g", "n"])
-
-    rows = docs.select(lowered().alias("text")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    found = {r.g: r.n for r in rows.collect()}  # at most the block's 3-grams and one
-    return found, found.pop(-1, 0)
-
-
-def seeded_blocks(docs: DataFrame, benchmark: DataFrame) -> list[Block]:
-    out = []
-    for block in blocks(benchmark):
-        if len(block.grams):
-            block.choose(*document_counts(docs, block))
-            out.append(block)
-    return out
-
-
 def leaks_column(block: Block, text: str = "text"):
     """Array of (item_id, score, first_word, last_word) found in the text."""
     kind = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
@@ -269,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     test item with an alignment of at least ``THRESHOLD``."""
     small_batches(docs.sparkSession)
     out = None
-    for block in seeded_blocks(docs, benchmark):
+    for block in blocks(benchmark):
         part = docs.select("doc_id", F.explode(leaks_column(block)).alias("x")).select("doc_id", "x.*")
         out = part if out is None else out.union(part)
     if out is None:
@@ -280,6 +252,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no passage of a test item."""
     small_batches(docs.sparkSession)
-    for block in seeded_blocks(docs, benchmark):
+    for block in blocks(benchmark):
         docs = docs.where(F.size(leaks_column(block)) == 0)
     return docs

@@ -91,6 +91,20 @@ def test_a_passage_across_a_cut_of_a_long_item(spark):
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
 
 
+def test_very_many_edited_copies_with_few_whole_grams(spark):
+    """16 words of 32 kept: two whole 3-grams in the first 4, then every third
+    word replaced. A third of all rows holds the same copy; each is a leak."""
+    rnd = random.Random(8)
+    item = rnd.sample(WORDS, 32)
+    other = [w for w in WORDS if w not in item]
+    copy = [*item[:4], *(rnd.choice(other) if j % 3 == 0 else w for j, w in enumerate(item[4:]))]
+    assert brute(item, copy) >= 2 * 32 * decontam.THRESHOLD
+    for n in (60, 3600):
+        texts = [" ".join([*rnd.choices(other, k=10), *(copy if i % 3 == 0 else []), *rnd.choices(other, k=10)]) for i in range(n)]
+        rows = decontam.contaminated(docs(spark, texts), bench(spark, [" ".join(item)])).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(0, n, 3))
+
+
 def test_defined_cases(spark):
     items, texts, leaks = planted()
     odd = docs(spark, [(None, items[0]), (500, None), (501, ""), (502, "two words"), (503, texts[0] * 300), (503, items[3]), (503, items[3])])
