@@ -33,14 +33,15 @@ AWARDS_TYPE = "array<struct<name:string,count:int>>"
 
 
 def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType = POSTS_SCHEMA) -> DataFrame:
-    """Stored posts as CSV with quoted multi-line text, explicit schema."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    """Stored posts as CSV with quoted multi-line text, explicit schema; an
+    empty field is null, a quoted empty one the empty text."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", True).option("nullValue", "\u0001")
             .option("escape", '"').option("quote", '"').csv(path))
 
 
 def write_posts_csv(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
-       .csv(path))
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_with_source(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
