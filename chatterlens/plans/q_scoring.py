@@ -151,6 +151,13 @@ def q_related_words(spark, sf):
     return finalize(tok.select("id").join(flags, "id", "left").fillna(0))
 
 
+def q_cluster_words(spark, sf):
+    """The words of the cluster of 'thing'; none where no title holds it."""
+    clusters = V.rule_clusters(V.vocabulary_words(terms.with_tokens(posts_view(spark, sf))))
+    own = clusters.where(F.col("word") == "thing").select("cluster")
+    return finalize(clusters.join(own, "cluster", "left_semi").select("word"))
+
+
 def q_word_coordinates(spark, sf):
     """Two principal coordinates of each vector (sign fixed by the largest)."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
@@ -204,6 +211,9 @@ a AS (SELECT author, CAST(sum(ups) AS DOUBLE) AS s, avg(ups) AS m, CAST(median(u
 (SELECT 'new', id FROM posts ORDER BY created_utc DESC, id LIMIT {SAMPLE}) UNION ALL
 (SELECT 'controversial', id FROM posts ORDER BY abs(upvote_ratio - 0.5), ups DESC, id LIMIT {SAMPLE})""",
     "seeded_shuffle": f"{W} SELECT count(*) AS posts, count(*) AS places, count(*) AS last FROM posts",
+    "cluster_words": f"""{W}, {token_ctes()},
+vocab AS (SELECT DISTINCT word FROM words)
+SELECT word FROM vocab WHERE ascii(word) % 5 IN (SELECT ascii(word) % 5 FROM vocab WHERE word = 'thing')""",
     "related_words": f"""{W}, {token_ctes()},
 c AS (SELECT DISTINCT id, ascii(word) % 5 AS k FROM words)
 SELECT p.id, {', '.join(f'CAST(coalesce(max(CASE WHEN k = {i} THEN 1 ELSE 0 END), 0) AS BIGINT) AS concept_{i}' for i in range(5))}
@@ -214,7 +224,7 @@ FROM posts p LEFT JOIN c ON c.id = p.id GROUP BY p.id""",
 _ids = {
     "title_scores": ("R04",), "date_scores": ("R05", "J12"), "word_effect": ("R07",), "joint_model": ("R18", "E16", "E17"),
     "classifier_variants": ("R02", "R19"), "roc_curve": ("R17",), "linear_fit": ("R11",), "author_rankings": ("L05",),
-    "community_samples": ("L11",), "seeded_shuffle": ("L09",), "related_words": ("K04", "K05"), "word_coordinates": ("E14",),
+    "community_samples": ("L11",), "seeded_shuffle": ("L09",), "related_words": ("K04", "K05"), "cluster_words": ("K04",), "word_coordinates": ("E14",),
     "saved_word_vectors": ("S11",), "written_results": ("S05", "S09"),
 }
 
