@@ -5,7 +5,7 @@ import duckdb
 
 import __spark_entry__ as E
 from chatterlens.sources import readers as R
-from conftest import SF0001
+from tables import SF0001
 
 
 def test_every_row_and_body_matches_sql(spark):

@@ -205,7 +205,7 @@ def test_pipeline_stages(spark):
     from chatterlens.operators.terms import TextTokenizer
     from chatterlens.operators.vectors import ConceptCluster
     from chatterlens.sources.fixtures import posts_view
-    from conftest import SF0001
+    from tables import SF0001
     p = posts_view(spark, SF0001)
     p = TextTokenizer("title", "tok_title", stop_words=[]).transform(p)
     p = TextTokenizer("selftext", "tok_selftext", stop_words=[]).transform(p)
@@ -232,7 +232,7 @@ def test_neighbourhood_pairs_brute_force(spark):
 
 def test_repeated_sample_mean_invariants(spark):
     import __spark_entry__ as E
-    from conftest import SF0001
+    from tables import SF0001
     rows = E.queries()["repeated_sample_mean"](spark, SF0001).collect()
     assert len(rows) == 20 and all(r.n == 50 for r in rows)
     assert rows[0].mean_of_means == pytest.approx(sum(r.sample_mean for r in rows) / 20, abs=1e-6)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF0001
+from tables import SF0001
 
 NAMES = ["top_words_per_day", "share_series", "change_points", "new_terms", "author_table",
          "author_shrinkage", "one_hit_wonder_curve", "preprocess", "timeparts", "html_text",

@@ -5,7 +5,7 @@ from chatterlens.operators import similarity as S
 from chatterlens.operators import terms
 from chatterlens.sources.fixtures import posts_view, table
 
-from conftest import SF0001
+from tables import SF0001
 
 
 def plan(df):
