@@ -4,7 +4,7 @@ SQL twins of those that SQL can express."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, fixity, pieces, quality, sharding, simhash, topk, toxicity, urls
+from . import chat, common, decontam, fixity, licenses, pieces, quality, sharding, shallot, simhash, topk, toxicity, urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(common.table(spark, sf_dir, "documents"), 40)
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every whole text, exact and with a few edits."""
+    common.small_batches(spark)
+    return licenses.scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.k_means(shallot.integer_vectors(common.table(spark, sf_dir, "embeddings"), scale=1024, size=64), k=8, rounds=10, seed="3")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,9 +86,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_simhash, op3_quality, op4_urls, op5_sentencepiece, op6_topk, op7_toxicity, op8_warc,
-    op9_preferences, op10_sharding, pipeline)}
+    op9_preferences, op10_sharding, op11_licenses, op12_centroids, pipeline)}
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """k-means in whole numbers: a CTE for each round."""
+    distance = "CAST(list_sum(list_transform(list_zip(v.v, c.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    out = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, v) - 1 AS c, v AS m FROM v QUALIFY c < {k}),"""
+    for r in range(rounds + 1):
+        out += f"""
+d{r} AS MATERIALIZED (SELECT n, any_value(vec_id) AS vec_id, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT v.n, v.vec_id, c.c, {distance} AS d FROM v CROSS JOIN c{r} c) GROUP BY n),"""
+        if r < rounds:
+            out += f"""
+s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS w
+  FROM (SELECT d{r}.c, unnest(range(64)) AS i, unnest(v.v) AS x FROM v JOIN d{r} USING (n)) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(f.m, c{r}.m) AS m FROM c{r} LEFT JOIN
+  (SELECT c, list((s - ((s % w) + w) % w) // w ORDER BY i) AS m FROM s{r} GROUP BY c) f USING (c)),"""
+    return out + f"""
+t AS (SELECT c, CAST(sum(d) AS BIGINT) AS s FROM d{rounds} GROUP BY c)
+SELECT vec_id, CAST(d.c AS INTEGER) AS cluster, d AS distance, t.s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM t) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM d{rounds} d JOIN t ON t.c = d.c JOIN c{rounds} c ON c.c = d.c"""
+
 
 SQL = {
+    "op12_centroids": _rounds_sql(8, 10),
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
