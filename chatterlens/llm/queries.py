@@ -4,7 +4,7 @@ SQL twins of those that SQL can express."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontam, fixity, licenses, pieces, quality, sharding, shallot, simhash, topk, toxicity, urls
+from . import chat, common, decontam, fixity, licenses, pieces, quality, sharding, shallot, simhash, topk, toxicity, trie, urls
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.k_means(shallot.integer_vectors(common.table(spark, sf_dir, "embeddings"), scale=1024, size=64), k=8, rounds=10, seed="3")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(common.table(spark, sf_dir, "conversations"), group=5, spread=9)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_simhash, op3_quality, op4_urls, op5_sentencepiece, op6_topk, op7_toxicity, op8_warc,
-    op9_preferences, op10_sharding, op11_licenses, op12_centroids, pipeline)}
+    op9_preferences, op10_sharding, op11_licenses, op12_centroids, op13_prefix_trie, pipeline)}
 
 
 def _rounds_sql(k: int, rounds: int) -> str:
@@ -114,8 +118,29 @@ SELECT vec_id, CAST(d.c AS INTEGER) AS cluster, d AS distance, t.s AS cluster_in
 FROM d{rounds} d JOIN t ON t.c = d.c JOIN c{rounds} c ON c.c = d.c"""
 
 
+#: CRC-32 of a string of ASCII characters: eight steps for each, the first with its code.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split({}, ''),
+  lambda ch: [CAST(ord(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), CAST(4294967295 AS BIGINT))"""
+
 SQL = {
     "op12_centroids": _rounds_sql(8, 10),
+    "op13_prefix_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS own,
+  {_CRC32.format('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM t GROUP BY conv_id),
+r AS MATERIALIZED (SELECT o.conv_id, list_concat(coalesce(b.own[1:o.h], []), o.own[o.h + 1:]) AS p
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+m AS MATERIALIZED (SELECT conv_id, d AS depth, sha256(CAST(p[1:d] AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(p[1:d - 1] AS VARCHAR)) END AS up,
+  d = len(p) AS last, CASE WHEN d > 0 THEN strlen(p[d].t) ELSE 0 END AS size FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM r)),
+n AS MATERIALIZED (SELECT k, depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM m GROUP BY k, depth),
+c AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k, depth)),
+s AS (SELECT a.k, a.depth, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.size) AS saved_tokens
+  FROM f JOIN m a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (k, depth) LEFT JOIN n p ON p.k = f.up AND p.depth = f.depth - 1""",
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

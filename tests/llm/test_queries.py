@@ -17,19 +17,20 @@ COLUMNS = {"op2_simhash": ["doc_id", "fingerprint", "component_id"], "op3_qualit
            "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
            "op11_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
            "op12_centroids": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+           "op13_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
            "op10_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]}
 
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_contract_columns(spark, name):
     df = E.queries()[name](spark, SF)
     assert df.columns[:len(COLUMNS[name])] == COLUMNS[name]
-    table = {"op4_urls": "pages", "op6_topk": None, "op12_centroids": "embeddings"}.get(name, "documents")
+    table = {"op4_urls": "pages", "op6_topk": None, "op12_centroids": "embeddings", "op13_prefix_trie": None}.get(name, "documents")
     if table:
         assert df.count() == common.table(spark, SF, table).count()
 
