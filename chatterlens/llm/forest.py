@@ -63,18 +63,22 @@ def prefixes(copy: DataFrame, key: str, sums=(), xors=()) -> DataFrame:
 
 
 def _sizes(edges: DataFrame, most: int = 63) -> tuple[DataFrame, int]:
-    """(node, full): nodes of each subtree; and the rounds it took, log2 of the depth."""
-    s, rounds = stored(edges.select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("full")), "sizes"), 0
-    while s.where("anc IS NOT NULL").limit(1).count():
-        if rounds == most:  # no path is longer than 2^63
+    """(node, full): nodes of each subtree; and the rounds it took, log2 of the depth.
+
+    A round holds only the nodes that still have an ancestor at its distance."""
+    act = stored(edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("full")), "active")
+    found = [edges.select("node", F.lit(1).cast("long").alias("more"))]
+    while act.limit(1).count():
+        if len(found) > most:  # no path is longer than 2^63
             raise ValueError("the parents form a cycle")
-        open_ = s.where("anc IS NOT NULL")
-        more = open_.groupBy(F.col("anc").alias("node")).agg(F.sum("full").alias("more"))
-        up = open_.select("node", "anc").join(s.select(F.col("node").alias("anc"), F.col("anc").alias("up")), "anc").select("node", "up")
-        s = stored(s.join(more, "node", "left").join(up, "node", "left")
-                   .select("node", F.col("up").alias("anc"), (F.col("full") + F.coalesce("more", F.lit(0))).alias("full")), "sizes")
-        rounds += 1
-    return s.select("node", "full"), rounds
+        more = stored(act.groupBy(F.col("anc").alias("node")).agg(F.sum("full").alias("more")), "more")
+        found.append(more)
+        up = act.join(act.select(F.col("node").alias("anc"), F.col("anc").alias("up")), "anc").select("node", "up", "full")
+        act = stored(up.join(more, "node", "left").select("node", F.col("up").alias("anc"), (F.col("full") + F.coalesce("more", F.lit(0))).alias("full")), "active")
+    total = found[0]
+    for f in found[1:]:
+        total = total.union(f)
+    return stored(total.groupBy("node").agg(F.sum("more").alias("full")), "sizes"), len(found) - 1
 
 
 def _numbered(edges: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
@@ -83,15 +87,16 @@ def _numbered(edges: DataFrame, sizes: DataFrame, rounds: int) -> DataFrame:
     family = sorted_copy(edges.select("node", "parent").join(sizes, "node").withColumn("before", F.col("full")), ["parent", "node"])
     off = prefixes(family, "parent", sums=("before",)).select("node", "parent", "full", (F.col("before") - F.col("full") + 1).alias("off"))
     top = F.when(F.col("parent").isNull(), F.struct((F.col("off") - 1).alias("pre"), F.col("full").alias("n")))
-    s = stored(off.select("node", F.col("parent").alias("anc"), "full", "off", F.col("off").alias("sum"), top.alias("top")), "numbers")
+    cols = ["node", "anc", "full", "off", "sum", "top"]
+    now = stored(off.select("node", F.col("parent").alias("anc"), "full", "off", F.col("off").alias("sum"), top.alias("top")), "numbers")
+    act, done = now.where("anc IS NOT NULL"), now.where("anc IS NULL")
     for _ in range(rounds):
-        above = s.select(F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("sum").alias("more"), F.col("top").alias("up_top"))
-        found = s.where("anc IS NOT NULL").select("node", "anc").join(above, "anc").select("node", "up", "more", "up_top")
-        s = stored(s.join(found, "node", "left").select(
-            "node", F.col("up").alias("anc"), "full", "off", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"),
-            F.coalesce("top", "up_top").alias("top")), "numbers")
+        above = done.union(act).select(F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("sum").alias("more"), F.col("top").alias("up_top"))
+        now = stored(act.join(above, "anc").select("node", F.col("up").alias("anc"), "full", "off", (F.col("sum") + F.col("more")).alias("sum"),
+                                                   F.col("up_top").alias("top")).select(*cols), "numbers")
+        act, done = now.where("anc IS NOT NULL"), done.union(now.where("anc IS NULL"))
     pre = F.col("sum") - 1
-    return s.select("node", pre.alias("pre"), (pre - F.col("off")).alias("parent_pre"), "full", F.col("top.pre").alias("top"), F.col("top.n").alias("n"))
+    return done.select("node", pre.alias("pre"), (pre - F.col("off")).alias("parent_pre"), "full", F.col("top.pre").alias("top"), F.col("top.n").alias("n"))
 
 
 def _split(cur: DataFrame, weights: list[str]) -> DataFrame:
