@@ -168,13 +168,16 @@ def keyword_share_series(tok: DataFrame, words: DataFrame, statistic: str = "cou
 
 def term_days(posts: DataFrame, keys, tokens_col: str = "tokens", value_col: str = "ups") -> DataFrame:
     """``(keys, word, cf, posts, total)`` in one aggregate: occurrences, posts with
-    a value that hold the word, and the sum of their values.  A post's repeats
-    are counted inside its row, so the only shuffle is that of the partial sums."""
-    words = F.flatten(tokens_col)
-    w = posts.select(*keys, value_col, words.alias("_all"), F.explode(F.array_distinct(words)).alias("word"))
-    cf = F.size("_all") - F.size(F.array_remove("_all", F.col("word")))
-    return w.groupBy(*keys, "word").agg(F.sum(cf).cast("bigint").alias("cf"), F.count(value_col).alias("posts"),
-                                        F.sum(value_col).alias("total"))
+    a value that hold the word, and the sum of their values.  A post's words are
+    sorted, so its repeats stand together and each place is one narrow row; the
+    only shuffle is that of the partial sums."""
+    w = posts.select(*keys, value_col, F.array_sort(F.flatten(tokens_col)).alias("word"))
+    # sorted, a word's first place in a post is the one that differs from the word before
+    w = w.withColumn("before", F.concat(F.array(F.lit(None).cast("string")), F.slice("word", 1, F.greatest(F.size("word") - 1, F.lit(0)))))
+    w = w.select(*keys, value_col, F.inline(F.arrays_zip("word", "before")))
+    first = F.when(F.col("before").isNull() | (F.col("before") != F.col("word")), F.col(value_col))
+    return w.where(F.col("word").isNotNull()).groupBy(*keys, "word").agg(
+        F.count(F.lit(1)).alias("cf"), F.count(first).alias("posts"), F.sum(first).alias("total"))
 
 
 def community_share_series(posts: DataFrame, k: int, fill: float = 1.0, tokens_col: str = "tokens",

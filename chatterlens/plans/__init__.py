@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_terms", "q_authors", "q_clean", "q_vectors", "q_graph", "q_models", "q_stream", "q_sources", "q_extra", "q_scoring"]
+MODULES = ["q_terms", "q_authors", "q_clean", "q_vectors", "q_graph", "q_models", "q_stream", "q_sources", "q_extra", "q_scoring", "q_similar"]
 
 
 def all_queries():

@@ -10,13 +10,13 @@ from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 
 K_DAILY = 2        # daily top words (package default)
-CP_NODES = 8       # quadrature nodes per shape parameter
+CP_NODES = cpo.DEFAULT_NODES  # quadrature nodes a dimension
 K_NEW = 200        # hot / known list sizes of the new-term detector (upstream value)
 CP_EPS = 1e-6
 
 
-def _tok(spark, sf):
-    return terms.with_tokens(posts_view(spark, sf))
+def _tok(spark, sf, column="title"):
+    return terms.with_tokens(posts_view(spark, sf), column)
 
 
 # ---------------------------------------------------------------- Spark side
@@ -122,14 +122,33 @@ def _event_series(spark, sf):
     return terms.keyword_share_series(ev, words, "count")
 
 
+def q_top_words_per_day_body(spark, sf):
+    """The daily top words of whole bodies, not of titles."""
+    return finalize(terms.top_words_per_day(_tok(spark, sf, "selftext"), K_DAILY).select("date", "word", "cf", "rank"))
+
+
+def q_share_series_body(spark, sf):
+    return finalize(terms.keyword_share_series(_tok(spark, sf, "selftext"), K_DAILY, "count"))
+
+
+def q_new_terms_body(spark, sf):
+    return finalize(terms.new_terms(_tok(spark, sf, "selftext"), k_hot=K_NEW, k_known=K_NEW, lookback=9, skip_first=11))
+
+
+def q_change_points_body(spark, sf):
+    """Change points of the shares of posts whose whole body holds a word."""
+    s = terms.keyword_share_series(_tok(spark, sf, "selftext"), K_DAILY, "count")
+    return finalize(cpo.change_points(s, nodes=CP_NODES, eps=CP_EPS))
+
+
 def q_event_change_points(spark, sf):
     return finalize(cpo.change_points(_event_series(spark, sf), nodes=CP_NODES, eps=CP_EPS))
 
 
 # ---------------------------------------------------------------- SQL twins
-def _top_ctes(k=K_DAILY):
+def _top_ctes(k=K_DAILY, column="title"):
     return f"""{POSTS_CTE},
-{token_ctes()},
+{token_ctes(text_col=column)},
 counts AS (SELECT date, word, count(*) AS cf FROM words GROUP BY date, word),
 ranked AS (SELECT date, word, cf, row_number() OVER (PARTITION BY date ORDER BY cf DESC, word ASC) AS rank
            FROM counts),
@@ -137,9 +156,9 @@ top AS (SELECT * FROM ranked WHERE rank <= {k}),
 hot AS (SELECT word, CAST(sum(cf) AS BIGINT) AS cf_top_days FROM top GROUP BY word)"""
 
 
-def _series_ctes(statistic="count", k=K_DAILY):
+def _series_ctes(statistic="count", k=K_DAILY, column="title"):
     stat = {"count": "CAST(count(ups) AS DOUBLE)", "sum": "CAST(sum(ups) AS DOUBLE)"}[statistic]
-    return f"""{_top_ctes(k)},
+    return f"""{_top_ctes(k, column)},
 pw AS (SELECT DISTINCT id, date, ups, word FROM words),
 kw AS (SELECT word, date, {stat} AS kw_stat FROM pw WHERE word IN (SELECT word FROM hot)
        GROUP BY word, date),
@@ -152,8 +171,48 @@ series AS (SELECT word, date, CAST(row_number() OVER (PARTITION BY word ORDER BY
                   CAST(count(*) OVER (PARTITION BY word) AS BIGINT) AS n, share FROM s1)"""
 
 
+def _digamma_sql(x: str) -> str:
+    tail = " - ".join(f"1 / ({x} + {i})" for i in range(8))
+    return f"(ln({x} + 8) - 0.5 / ({x} + 8) - 1 / (12 * ({x} + 8)^2) + 1 / (120 * ({x} + 8)^4) - 1 / (252 * ({x} + 8)^6) + 1 / (240 * ({x} + 8)^8) - {tail})"
+
+
+def _trigamma_sql(x: str) -> str:
+    tail = " + ".join(f"1 / ({x} + {i})^2" for i in range(8))
+    return (f"(1 / ({x} + 8) + 1 / (2 * ({x} + 8)^2) + 1 / (6 * ({x} + 8)^3) - 1 / (30 * ({x} + 8)^5) + 1 / (42 * ({x} + 8)^7)"
+            f" - 1 / (30 * ({x} + 8)^9) + {tail})")
+
+
+def _shapes_sql(src: str) -> str:
+    return (f"(SELECT *, mu * exp(e) AS a, nu * exp(e) AS b, exp(e) AS ph, mu * nu * exp(e) AS v "
+            f"FROM (SELECT *, 1 / (1 + exp(-t)) AS mu, 1 / (1 + exp(t)) AS nu FROM {src}))")
+
+
+def _slopes_sql(src: str) -> str:
+    """Derivatives dt, de, dtt, dte, dee of the segment's log density at (t, e)."""
+    return f"""(SELECT *, v * (fa - fb) AS dt, a * fa + b * fb AS de, v * v * (faa + fbb - 2 * fab) + (nu - mu) * v * (fa - fb) AS dtt,
+  v * (a * (faa - fab) + b * (fab - fbb)) + v * (fa - fb) AS dte, a * a * faa + b * b * fbb + 2 * a * b * fab + a * fa + b * fb AS dee
+FROM (SELECT *, s1 - 1 / ah - m * ({_digamma_sql('a')} - pp) + 1 / a AS fa, s2 - 1 / bh - m * ({_digamma_sql('b')} - pp) + 1 / b AS fb,
+  -m * ({_trigamma_sql('a')} - tp) - 1 / (a * a) AS faa, -m * ({_trigamma_sql('b')} - tp) - 1 / (b * b) AS fbb, m * tp AS fab
+FROM (SELECT *, {_digamma_sql('ph')} AS pp, {_trigamma_sql('ph')} AS tp FROM {_shapes_sql(src)})))"""
+
+
+def _inner_sql(src: str) -> str:
+    """Slope it and curvature itt in theta at a given eta."""
+    return f"""(SELECT *, v * (da - db) AS it, v * v * bend + (nu - mu) * v * (da - db) AS itt
+FROM (SELECT *, s1 - 1 / ah - m * {_digamma_sql('a')} + 1 / a AS da, s2 - 1 / bh - m * {_digamma_sql('b')} + 1 / b AS db,
+  -m * ({_trigamma_sql('a')} + {_trigamma_sql('b')}) - 1 / (a * a) - 1 / (b * b) AS bend FROM {_shapes_sql(src)}))"""
+
+
 def cp_sql_ctes(g=CP_NODES, eps=CP_EPS, model="optional", key="word"):
-    """Change-point CTE chain over ``series(key, date, idx, share)`` ending in ``cp``."""
+    """Change-point CTE chain over ``series(key, date, idx, share)`` ending in ``cp``
+    (to follow ``WITH RECURSIVE``): the same nodes around each segment's mode."""
+    def clip(x):
+        return f"greatest(least({x}, {cpo.MAX_STEP}), -{cpo.MAX_STEP})"
+    rule = ", ".join(f"({t!r}, {w!r})" for t, w in cpo.hermite_nodes(g))
+    seg = "key, idx, side, m, s1, s2, ah, bh"
+    inner = "cout"
+    for _ in range(cpo.INNER_STEPS):
+        inner = f"""(SELECT {seg}, te, width, e, ow, t + CASE WHEN itt < 0 THEN {clip('-it / itt')} ELSE sign(it) END AS t FROM {_inner_sql(inner)})"""
     if model == "always":
         prior = "CAST(1 AS DOUBLE) / (n - 1)"
         conf = "1.0"
@@ -171,20 +230,27 @@ ctot AS (SELECT key, count(*) AS n, sum(ln(x)) AS s1t, sum(ln(1 - x)) AS s2t, av
 chat AS (SELECT key, n, s1t, s2t, ((1 - mu) / v - 1 / mu) * mu * mu AS ah,
                 ((1 - mu) / v - 1 / mu) * mu * mu * (1 / mu - 1) AS bh
          FROM ctot WHERE n >= 3 AND v > 0 AND v < mu * (1 - mu)),
-cq AS (SELECT -ln(1 - (CAST(i AS DOUBLE) + 0.5) / {g}) AS q FROM range({g}) t(i)),
-cnodes AS (SELECT key, qa.q * ah AS a, qb.q * bh AS b FROM chat, cq qa, cq qb),
-cnodes2 AS (SELECT key, a, b, lgamma(a) + lgamma(b) - lgamma(a + b) AS lnb, a / (a + b) AS mu FROM cnodes),
-cll AS (SELECT p.key, p.idx, p.date, h.n, nd.mu,
-               (nd.a - 1) * p.s1p + (nd.b - 1) * p.s2p - p.m * nd.lnb AS lll,
-               (nd.a - 1) * (h.s1t - p.s1p) + (nd.b - 1) * (h.s2t - p.s2p) - (h.n - p.m) * nd.lnb AS llr
-        FROM cpre p JOIN chat h ON h.key = p.key JOIN cnodes2 nd ON nd.key = p.key),
-cmx AS (SELECT key, idx, max(lll) AS ml, max(llr) AS mr FROM cll GROUP BY key, idx),
-cseg AS (SELECT c.key, c.idx, any_value(c.date) AS date, any_value(c.n) AS n,
-                any_value(x.ml) + ln(sum(exp(c.lll - x.ml))) - ln({g * g}) AS lse_l,
-                sum(exp(c.lll - x.ml) * c.mu) / sum(exp(c.lll - x.ml)) AS mu_l,
-                any_value(x.mr) + ln(sum(exp(c.llr - x.mr))) - ln({g * g}) AS lse_r,
-                sum(exp(c.llr - x.mr) * c.mu) / sum(exp(c.llr - x.mr)) AS mu_r
-         FROM cll c JOIN cmx x ON x.key = c.key AND x.idx = c.idx GROUP BY c.key, c.idx),
+csides AS (SELECT key, idx, 0 AS side, CAST(m AS DOUBLE) AS m, s1p AS s1, s2p AS s2, ah, bh FROM cpre JOIN chat USING (key)
+         UNION ALL SELECT key, idx, 1, n - m, s1t - s1p, s2t - s2p, ah, bh FROM cpre JOIN chat USING (key) WHERE m < n),
+cnewton AS (SELECT {seg}, ln(g / h) AS t, ln((m / 2 + 1.5) / (m * (g * ln(g) + h * ln(h)) - (g * s1 + h * s2) + g / ah + h / bh)) AS e, 0 AS step
+         FROM (SELECT *, exp(s1 / m) / (exp(s1 / m) + exp(s2 / m)) AS g, exp(s2 / m) / (exp(s1 / m) + exp(s2 / m)) AS h FROM csides)
+         UNION ALL SELECT {seg},
+           t + {clip("CASE WHEN fine THEN -(dee * dt - dte * de) / det ELSE sign(dt) END")},
+           e + {clip("CASE WHEN fine THEN -(dtt * de - dte * dt) / det ELSE sign(de) END")}, step + 1
+         FROM (SELECT *, dtt * dee - dte * dte AS det, dtt < 0 AND dtt * dee > dte * dte AS fine FROM {_slopes_sql('cnewton')}) WHERE step < {cpo.MODE_STEPS}),
+crule AS (SELECT * FROM (VALUES {rule}) r(x, w)),
+cmode AS MATERIALIZED (SELECT {seg}, t, e, dte / dtt AS lean, sqrt(-dtt / (dtt * dee - dte * dte)) AS width
+         FROM {_slopes_sql(f'(SELECT * FROM cnewton WHERE step = {cpo.MODE_STEPS})')}),
+cout AS (SELECT {seg}, 0 AS te, width, e + width * x AS e, w AS ow, t - lean * width * x AS t FROM cmode, crule),
+cin AS MATERIALIZED (SELECT {seg}, width, e, ow, t, 1 / sqrt(greatest(-itt, 1e-300)) AS s FROM {_inner_sql(inner)}),
+cnode AS (SELECT key, idx, side, mu, a * (s1 - 1 / ah) + b * (s2 - 1 / bh) - m * (lgamma(a) + lgamma(b) - lgamma(ph)) + ln(a) + ln(b) - s1 - s2 - ln(ah * bh)
+           + ow + iw + ln(s) + ln(width) AS l
+         FROM {_shapes_sql('(SELECT * EXCLUDE (t), t + s * x AS t, w AS iw FROM cin, crule)')}),
+cmx AS (SELECT *, max(l) OVER (PARTITION BY key, idx, side) AS top FROM cnode),
+cev AS (SELECT key, idx, side, max(top) + ln(sum(exp(l - top))) AS lse, sum(exp(l - top) * mu) / sum(exp(l - top)) AS mean FROM cmx GROUP BY key, idx, side),
+cseg AS (SELECT p.key, p.idx, p.date, h.n, l.lse AS lse_l, l.mean AS mu_l, r.lse AS lse_r, r.mean AS mu_r
+         FROM cpre p JOIN chat h ON h.key = p.key JOIN cev l ON l.key = p.key AND l.idx = p.idx AND l.side = 0
+         LEFT JOIN cev r ON r.key = p.key AND r.idx = p.idx AND r.side = 1),
 cb AS (SELECT *, CASE WHEN idx < n - 1 THEN {prior} ELSE 0.0 END AS prior FROM cseg),
 cc AS (SELECT *, CASE WHEN idx < n - 1 THEN ln(prior) + lse_l + lse_r END AS lp FROM cb),
 cd AS (SELECT *, max(CASE WHEN idx = n - 1 THEN lse_l END) OVER (PARTITION BY key) AS e0,
@@ -231,14 +297,14 @@ FROM series WINDOW w AS (PARTITION BY word ORDER BY date ROWS BETWEEN 6 PRECEDIN
                        doubles=("rolling_mean",), texts=("date",))
 
 
-def _new_terms_sql(persist: int) -> str:
+def _new_terms_sql(persist: int, column="title") -> str:
     extra = ""
     if persist:
         extra = f"""
   AND (SELECT count(*) FROM hotk h2 WHERE h2.word = h.word
        AND h2.day_idx BETWEEN h.day_idx + 1 AND h.day_idx + {persist}) = {persist}
   AND h.day_idx < (SELECT count(*) FROM axis) - {persist}"""
-    return wrap_sql(f"""WITH {_top_ctes(K_NEW)},
+    return wrap_sql(f"""WITH {_top_ctes(K_NEW, column)},
 axis AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS BIGINT) AS day_idx
          FROM (SELECT DISTINCT date FROM tposts)),
 hotk AS (SELECT t.date, a.day_idx, t.word, t.cf, CAST(t.rank AS BIGINT) AS rank FROM top t JOIN axis a ON a.date = t.date)
@@ -275,17 +341,17 @@ p AS (SELECT date, cf * 1.0 / sum(cf) OVER (PARTITION BY date) AS p FROM counts)
 SELECT date, -sum(p * ln(p)) AS entropy, count(*) AS n_words FROM p GROUP BY date""",
                              doubles=("entropy",), texts=("date",))
 
-SQL_CP = wrap_sql(f"WITH {_series_ctes()},\n{cp_sql_ctes()} SELECT * FROM cp", doubles=CP_DOUBLES)
-SQL_CP_ALWAYS = wrap_sql(f"WITH {_series_ctes()},\n{cp_sql_ctes(model='always')} SELECT * FROM cp",
+SQL_CP = wrap_sql(f"WITH RECURSIVE {_series_ctes()},\n{cp_sql_ctes()} SELECT * FROM cp", doubles=CP_DOUBLES)
+SQL_CP_ALWAYS = wrap_sql(f"WITH RECURSIVE {_series_ctes()},\n{cp_sql_ctes(model='always')} SELECT * FROM cp",
                          doubles=CP_DOUBLES)
-SQL_CP_REPORT = wrap_sql(f"""WITH {_series_ctes()},
+SQL_CP_REPORT = wrap_sql(f"""WITH RECURSIVE {_series_ctes()},
 {cp_sql_ctes()}
 SELECT word, confidence, mu_diff,
        CASE WHEN mu_diff >= 0 THEN floor(mu_diff * 100) / 100 ELSE ceil(mu_diff * 100) / 100 END AS mu_diff_2dp,
        entropy
 FROM cp WHERE confidence >= 0.5 AND abs(mu_diff) > 0.01""",
                          doubles=("confidence", "mu_diff", "mu_diff_2dp", "entropy"))
-SQL_EVENT_CP = wrap_sql(f"""WITH ev AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS date,
+SQL_EVENT_CP = wrap_sql(f"""WITH RECURSIVE ev AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS id, CAST(ts AS DATE) AS date,
                    CAST(floor(value) AS BIGINT) AS ups, event_type AS word FROM events),
 hot AS (SELECT DISTINCT word FROM ev),
 kw AS (SELECT word, date, CAST(count(ups) AS DOUBLE) AS kw_stat FROM ev GROUP BY word, date),
@@ -301,7 +367,7 @@ def _community_cp_sql(words: str, totals: str, k: int) -> str:
     """Twin of the per-community change points over ``words(subreddit, id, date,
     ups, word)`` and ``totals(subreddit, date, total)``; a key is community,
     unit separator, word."""
-    return wrap_sql(f"""WITH {words},
+    return wrap_sql(f"""WITH RECURSIVE {words},
 wc AS (SELECT subreddit, date, word, count(*) AS cf FROM cwords GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY subreddit, date ORDER BY cf DESC, word) AS r FROM wc),
 hot AS (SELECT DISTINCT subreddit, word FROM rk WHERE r <= {k}),
@@ -345,5 +411,12 @@ QUERIES = [
     Query("event_community_change_points", q_event_community_change_points, SQL_EVENT_COMMUNITY_CP, ("C01", "C06", "L15")),
     Query("change_points_always", q_change_points_always, SQL_CP_ALWAYS, ("C03",)),
     Query("change_point_report", q_change_point_report, SQL_CP_REPORT, ("P19", "L15")),
+    Query("top_words_per_day_body", q_top_words_per_day_body,
+          wrap_sql(f"WITH {_top_ctes(column='selftext')} SELECT date, word, cf, CAST(rank AS BIGINT) AS rank FROM top", texts=("date",)), ("T01", "A07", "L01")),
+    Query("share_series_body", q_share_series_body,
+          wrap_sql(f"WITH {_series_ctes(column='selftext')} SELECT * FROM series", doubles=("share",), texts=("date",)), ("A01", "A02", "A03")),
+    Query("new_terms_body", q_new_terms_body, _new_terms_sql(0, "selftext"), ("W03",)),
+    Query("change_points_body", q_change_points_body,
+          wrap_sql(f"WITH RECURSIVE {_series_ctes(column='selftext')},\n{cp_sql_ctes()} SELECT * FROM cp", doubles=CP_DOUBLES), ("C01", "C02", "C05", "C06")),
     Query("event_change_points", q_event_change_points, SQL_EVENT_CP, ("A03", "C01")),
 ]
