@@ -7,8 +7,11 @@ rest of each conversation is its completion, with the character spans of the
 assistant's turns that a model is trained on, and of no other.
 
 Turns are compared and rendered as rows: a conversation is gathered only in
-chunks of ``CHUNK`` turns, so even one of a third of all rows never is one group
-(chunks follow each other in the text; almost every pair has just one).
+chunks of ``CHUNK`` turns, so even one of a third of all rows never is one group.
+Almost every pair is one row; of a longer one, ``chunk`` numbers the pieces, and
+joined in that order prompts, completions and spans are the same for any ``CHUNK``:
+spans count from the start of the whole completion, by running totals of the
+pieces' lengths.
 
 Defined cases: null role or text is empty; turns of a null id or number are left
 out; several rows of one turn number are ordered by role and text; a pair with
@@ -20,6 +23,10 @@ read.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import sorted_copy
+from .common import stored
+from .forest import prefixes
+
 #: Turns rendered in one row.
 CHUNK = 256
 
@@ -41,7 +48,7 @@ def _turns(df: DataFrame, side: str) -> DataFrame:
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """pair_id, chunk, prompt, prompt_turns, chosen, chosen_spans, rejected,
     rejected_spans from the turns (pair_id, turn, role, text) of both sides;
-    spans are [start, end) of the trained characters in the completion."""
+    spans are [start, end) of the trained characters in the whole completion."""
     rows = _turns(chosen, "c").join(_turns(rejected, "r"), ["pair_id", "turn", "copy"], "full")
     same = (F.col("c_role") == F.col("r_role")) & (F.col("c_text") == F.col("r_text"))
     rows = rows.withColumn("at", F.struct("turn", "copy")).withColumn("differs", ~F.coalesce(same, F.lit(False)))
@@ -70,9 +77,18 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
                                .otherwise(a["spans"]).alias("spans")))
         return step["spans"]
 
-    return whole.select("pair_id", "chunk", text(F.col("p")).alias("prompt"), F.size("p").cast("long").alias("prompt_turns"),
-                        text(F.col("c")).alias("chosen"), spans(F.col("c")).alias("chosen_spans"),
-                        text(F.col("r")).alias("rejected"), spans(F.col("r")).alias("rejected_spans"))
+    pieces = stored(whole.select("pair_id", "chunk", text(F.col("p")).alias("prompt"), F.size("p").cast("long").alias("prompt_turns"),
+                                 text(F.col("c")).alias("chosen"), spans(F.col("c")).alias("chosen_spans"),
+                                 text(F.col("r")).alias("rejected"), spans(F.col("r")).alias("rejected_spans")), "pieces")
+    sizes = pieces.select("pair_id", "chunk", *[F.length(c).cast("long").alias(f"{c}_end") for c in ("chosen", "rejected")])
+    ends = prefixes(sorted_copy(sizes, ["pair_id", "chunk"]), "pair_id", sums=("chosen_end", "rejected_end")).drop("_pid", "_rn")
+
+    def moved(side):
+        before = F.col(f"{side}_end") - F.length(side)
+        return F.transform(f"{side}_spans", lambda s: F.struct((s["start"] + before).alias("start"), (s["end"] + before).alias("end"))).alias(f"{side}_spans")
+
+    return pieces.join(ends, ["pair_id", "chunk"]).select(
+        "pair_id", "chunk", "prompt", "prompt_turns", "chosen", moved("chosen"), "rejected", moved("rejected"))
 
 
 def answer_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,3 +1,5 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from chatterlens.llm import chat
@@ -53,13 +55,40 @@ def test_trained_spans_are_the_answers(spark):
     assert got[2][s:e] == "abc<|im_end|>" and got[4][t:f] == "defg<|im_end|>"
 
 
-def test_long_conversation_is_chunked(spark):
-    rows = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(1000)]
-    other = rows[:700] + [(1, t, role, text + "!") for _, t, role, text in rows[700:]]
-    made = chat.format_preferences(*(spark.createDataFrame(x, KIND) for x in (rows, other))).orderBy("chunk").collect()
-    assert [r.chunk for r in made] == [0, 1, 2, 3] and sum(r.prompt_turns for r in made) == 700
-    whole = brute(rows, other)[1]
-    assert ("".join(r.prompt for r in made), "".join(r.chosen for r in made), "".join(r.rejected for r in made)) == (whole[0], whole[2], whole[4])
+def joined(rows):
+    """The pieces of each pair in order, as one row."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.pair_id, r.chunk)):
+        p = out.setdefault(r.pair_id, ["", 0, "", [], "", []])
+        for i, part in enumerate((r.prompt, r.prompt_turns, r.chosen, [tuple(s) for s in r.chosen_spans], r.rejected, [tuple(s) for s in r.rejected_spans])):
+            p[i] = p[i] + part
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_long_conversations_do_not_depend_on_the_chunk(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)
+    chosen, rejected = [], []
+    for pair, turns, split in ((1, 600, 3), (2, 1000, 700), (3, 5, 2), (4, 300, 300), (5, 258, 0)):
+        rows = [(pair, t, "assistant" if t % 2 else "user", f"t{t}" * (1 + t % 3)) for t in range(turns)]
+        chosen += rows
+        rejected += rows[:split] + [(pair, t, role, text + "!") for _, t, role, text in rows[split:turns - turns // 9]]
+    made = chat.format_preferences(*(spark.createDataFrame(x, KIND) for x in (chosen, rejected))).collect()
+    assert joined(made) == brute(chosen, rejected)
+    if chunk == 256:
+        assert sorted(r.chunk for r in made if r.pair_id == 2) == [0, 1, 2, 3]
+
+
+def test_query_and_sql_agree_on_long_conversations(spark, tmp_path):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"c{c} t{t}") for c in (0, 1, 4) for t in range(600 - 90 * c)] + [(5, 3, "assistant", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    from chatterlens.llm.queries import SQL, op9_preferences
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(SQL["op9_preferences"])
+    names = [c[0] for c in cur.description]
+    got = op9_preferences(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and len(got) > 4
 
 
 def test_empty(spark):
