@@ -2,25 +2,31 @@
 
 A further coordinate, sqrt(M^2 - |x|^2) for data and 0 for queries, makes the
 largest inner product the smallest distance. Pivots are a bounded sample of the
-data; rows belong to the cell of their nearest pivot. Summaries of the cells (of
-data: counts and the distances to the pivot of the nearest few ids; of queries: the
-least and largest distance to every pivot) bound, for each group of queries, how
-far its k-th neighbour can be, and a data row is replicated to the groups whose
-bound its own distance to its pivot can't exclude. Groups of queries and cells
-of data are cut into blocks of bounded size, so a hot cell is many tasks; each
-pair of blocks is solved by one matrix product, and the best rows of each query
-are merged.
+data; rows belong to the cell of their nearest pivot and, within it, to a block of
+rows of like distance to it. Summaries of the blocks (rows, least and largest
+distance to the pivot) bound from below how near any row of a block can be to a
+query: by the triangle inequality over the pivot, and by the plane between the
+query's own pivot and the block's.
+
+Every data row is sent once, to its block. A query first meets the block with the
+least bound; its k-th score there is a bound of its own, and only the blocks that can
+still reach it get the query in a second round. In a block's task the data come
+first and the queries stream past them, so neither the queries of a hot block nor
+the rows of a hot cell are ever held together. The best rows of each query and block
+are merged. Where nothing can be excluded the work is that of all pairs of blocks,
+but what is sent stays the queries.
 
 Scores are exact integers. Defined cases: a null vector, or one that holds a
 null or a component that is not finite, and rows of null id take no part;
-shorter vectors count as padded with zeros; repeated ids are rows of their own
-(a query never meets rows of its own id; it is answered once per id and vector);
-fewer than k candidates give fewer rows; empty tables give none. Components must
-be below 2^31 after scaling.
+shorter vectors count as padded with zeros; rows are told apart as rows, not by id:
+each query row gets an answer, among all rows but itself, rows of its own id or
+equal to it included; fewer than k candidates give fewer rows; empty tables give
+none. Components must be below 2^31 after scaling.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +34,8 @@ from .common import stored
 
 #: Sample of the data that serves as pivots.
 PIVOTS = 48
-#: Rows in a block of queries and in a block of data.
-QUERY_ROWS, DATA_ROWS = 2048, 8192
+#: Queries that meet a block at a time, and rows in a block (of tables of up to 2^17 times as many).
+QUERY_ROWS, DATA_ROWS = 512, 8192
 _SLACK = 1e-6
 
 
@@ -53,19 +59,94 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of ``data`` with the largest
-    inner product for each query, of another id than its own; ties go to the
-    smaller id. Both tables hold (vec_id, v array<long>)."""
+class Blocks:
+    """Summaries of the blocks of data; at most about 2^17 rows."""
+
+    def __init__(self, facts, pivots: np.ndarray, reach: float):
+        self.cell = np.array([f[0] for f in facts], np.int64)
+        self.part = np.array([f[1] for f in facts], np.int64)
+        self.low = np.array([f[2] for f in facts], float)
+        self.high = np.array([f[3] for f in facts], float)
+        self.between, self.reach = _distances(pivots, pivots), reach
+        self.slack = _SLACK * (1 + np.sqrt(reach))
+
+    def least(self, far: np.ndarray) -> np.ndarray:
+        """For one query, with its distances to all pivots: no row of a block is nearer."""
+        own = int(far.argmin())
+        there = far[self.cell]
+        gap = self.between[own][self.cell]
+        plane = np.where(gap > 0, (there ** 2 - far[own] ** 2) / np.where(gap > 0, 2 * gap, 1), 0)
+        return np.maximum(np.maximum(there - self.high, self.low - there), np.maximum(plane, 0)) - self.slack
+
+
+def _best(q, own, asked, x, ids, rows, k):
+    """(row, query_id, vec_id, score) of the k best of a block for each query."""
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2 ** 53:
+        scores = (q.astype(float) @ x.astype(float).T).astype(np.int64)  # whole numbers, exact in doubles
+    else:
+        scores = q @ x.T
+    out = []
+    for i in range(len(q)):
+        other = np.nonzero(rows != asked[i])[0]
+        s = scores[i, other]
+        if len(s) > k:  # all that tie with the k-th, then by id
+            other = other[s >= np.partition(s, len(s) - k)[len(s) - k]]
+            s = scores[i, other]
+        best = np.lexsort((ids[other], -s))[:k]
+        out.append((np.full(len(best), asked[i]), np.full(len(best), own[i]), ids[other][best], s[best]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+
+
+def _meet(size: int, k: int, query_rows: int):
+    """Blocks stream in, each with its data before its queries."""
+    def meet(batches):
+        key, held, whole = None, [], None
+        for b in batches:
+            cell, part, ask, row, ids = (b.column(i).to_numpy() for i in range(5))
+            v = b.column(5).flatten().to_numpy().reshape(b.num_rows, size)
+            edge = np.nonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(ask) != 0))[0] + 1
+            for lo, hi in zip([0, *edge], [*edge, b.num_rows]):
+                if hi == lo:
+                    continue
+                if key != (cell[lo], part[lo]):
+                    key, held, whole = (cell[lo], part[lo]), [], None
+                if not ask[lo]:
+                    held.append((v[lo:hi], ids[lo:hi], row[lo:hi]))
+                    continue
+                if whole is None:
+                    whole, held = [np.concatenate(c) for c in zip(*held)] if held else [], []
+                for at in range(lo, hi if whole else lo, query_rows):
+                    to = min(at + query_rows, hi)
+                    found = _best(v[at:to], ids[at:to], row[at:to], *whole, k)
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in found], ["row", "query_id", "vec_id", "score"])
+    return meet
+
+
+def top_k(data: DataFrame, is_query: str, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row of (vec_id, v array<long>) that
+    satisfies ``is_query``, the k other rows with the largest inner product; ties go
+    to the smaller id."""
+    return merged(found_in_blocks(data, is_query, k), k)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
+        .select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def found_in_blocks(data: DataFrame, is_query: str, k: int) -> DataFrame:
+    """(row, query_id, vec_id, score): the best of each block that a query met."""
     spark = data.sparkSession
-    data, queries = stored(data, "data"), stored(queries.distinct(), "queries")
+    kind = "row long, query_id long, vec_id long, score long"
+    # a stored number tells rows apart that are equal in all columns
+    data = stored(data.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "data")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    facts = data.agg(F.max(norm), F.max(F.size("v"))).first()
-    widest = queries.agg(F.max(F.size("v"))).first()[0]
-    schema = "query_id long, rank int, vec_id long, score long"
-    if facts[0] is None or widest is None:
-        return spark.createDataFrame([], schema)
-    reach, size = float(facts[0]), max(int(facts[1]), int(widest), 1)
+    total, reach, size = data.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
+    if not total:
+        return spark.createDataFrame([], kind)
+    reach, size = float(reach), max(int(size), 1)
+    block_rows = max(DATA_ROWS, total >> 17)
 
     def lifted(x, is_data):
         more = np.sqrt(np.maximum(reach - (x * x).sum(1), 0)) if is_data else np.zeros(len(x))
@@ -73,92 +154,73 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()
     pivots = np.unique(lifted(_matrix([r.v for r in sample], size), True), axis=0)
-    cells = len(pivots)
-
-    def assign(is_data):
-        def run(batches):
-            for pdf in batches:
-                far = _distances(lifted(_matrix(pdf["v"], size), is_data), pivots)
-                cell = far.argmin(1)
-                out = pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "cell": cell, "far": far[np.arange(len(far)), cell]})
-                yield out if is_data else out.assign(all=list(far))
-        return run
-
-    # a stored number tells rows and queries apart that are equal in all columns or in their id
-    rows = stored(data.mapInPandas(assign(True), "vec_id long, v array<long>, cell int, far double")
-                  .withColumn("row", F.monotonically_increasing_id()), "cells")
-    asks = stored(queries.mapInPandas(assign(False), "vec_id long, v array<long>, cell int, far double, all array<double>")
-                  .withColumn("row", F.monotonically_increasing_id()), "asks")
-
-    # summaries: at most (cells x (k + 1)) and (cells x cells) numbers
-    counts = {r.cell: r.n for r in rows.groupBy("cell").count().withColumnRenamed("count", "n").collect()}
-    ranked = Window.partitionBy("cell").orderBy("far", "vec_id")
-    first = rows.groupBy("cell", "vec_id").agg(F.min("far").alias("far")).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
-    heads = [(r.cell, r.vec_id, r.far) for r in first.select("cell", "vec_id", "far").collect()]
-    span = asks.select("cell", F.posexplode("all").alias("pivot", "far")).groupBy("cell", "pivot").agg(
-        F.min("far").alias("lo"), F.max("far").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
-    low, high, asked = np.full((cells, cells), np.inf), np.zeros((cells, cells)), np.zeros(cells, np.int64)
-    for r in span:
-        low[r.cell, r.pivot], high[r.cell, r.pivot], asked[r.cell] = r.lo, r.hi, r.n
-    groups = np.nonzero(asked)[0]
-    # the k-th neighbour of any query of group g is no farther than this; different
-    # ids are counted, and one more than k, as all rows of the query's id drop out
-    bound = np.full(cells, np.inf)
-    for g in groups:
-        reach_of = {}
-        for c, i, far in heads:
-            reach_of[i] = min(reach_of.get(i, np.inf), high[g, c] + far)
-        if len(reach_of) > k:
-            bound[g] = sorted(reach_of.values())[k]
-    tolerance = _SLACK * (1 + np.sqrt(reach))
-
-    query_blocks = [max(1, -(-int(n) // QUERY_ROWS)) for n in asked]
-    data_blocks = [max(1, -(-int(counts.get(c, 0)) // DATA_ROWS)) for c in range(cells)]
-
-    def target(arr):
-        return F.array(*[F.lit(int(x)) for x in arr])
-
-    # a data row at distance ``far`` from its pivot is at least max(lo - far, far - hi) from the group
-    needs = F.array(*[F.struct(F.lit(int(g)).alias("g"), F.array(*[F.lit(float(x)) for x in low[g]]).alias("lo"),
-                               F.array(*[F.lit(float(x)) for x in high[g]]).alias("hi"), F.lit(float(bound[g] + tolerance)).alias("most"))
-                      for g in groups])
-    block = lambda blocks: F.pmod(F.xxhash64("row"), F.element_at(target(blocks), F.col("cell") + 1)).cast("int")
-    sent = (rows.withColumn("part", block(data_blocks)).withColumn("need", F.explode(needs))
-            .where((F.element_at("need.lo", F.col("cell") + 1) - F.col("far") <= F.col("need.most"))
-                   & (F.col("far") - F.element_at("need.hi", F.col("cell") + 1) <= F.col("need.most")))
-            .select(F.col("need.g").alias("g"), "cell", "part", "vec_id", "v")
-            .withColumn("qpart", F.explode(F.sequence(F.lit(0), F.element_at(target(query_blocks), F.col("g") + 1) - 1))))
-    # a query goes to each block of data that its group needs something of
-    nearest_far = dict.fromkeys(range(cells), (np.inf, 0.0))
-    for r in rows.groupBy("cell").agg(F.min("far").alias("a"), F.max("far").alias("b")).collect():
-        nearest_far[r.cell] = (r.a, r.b)
-    wanted = {g: [c for c in range(cells) if counts.get(c) and low[g, c] - nearest_far[c][1] <= bound[g] + tolerance
-                  and nearest_far[c][0] - high[g, c] <= bound[g] + tolerance] for g in groups}
-    to = F.create_map(*[x for g in groups for x in (F.lit(int(g)), F.array(*[F.lit(int(c)) for c in wanted[g]]).cast("array<int>"))])
-    posed = (asks.withColumn("qpart", block(query_blocks)).select(F.col("cell").alias("g"), "qpart", "row", "vec_id", "v", F.explode(F.element_at(to, F.col("cell"))).alias("cell"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(target(data_blocks), F.col("cell") + 1) - 1))))
-
-    def solve(ask: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(ask) or not len(near):
-            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, x = _matrix(ask["v"], size), _matrix(near["v"], size)
-        if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * size < 2 ** 53:
-            scores = (q @ x.T).astype(np.int64)  # whole numbers, exact in doubles
-        else:
-            scores = q.astype(np.int64) @ x.astype(np.int64).T
-        ids, out = near["vec_id"].to_numpy(), []
-        own, asked_by = ask["vec_id"].to_numpy(), ask["row"].to_numpy()
-        for i in range(len(q)):
-            other = np.nonzero(ids != own[i])[0]
-            s = scores[i, other]
-            if len(s) > k:  # all that tie with the k-th, then by id
-                other = other[s >= np.partition(s, len(s) - k)[len(s) - k]]
-                s = scores[i, other]
-            best = np.lexsort((ids[other], -s))[:k]
-            out.append(pd.DataFrame({"row": asked_by[i], "query_id": own[i], "vec_id": ids[other][best], "score": s[best]}))
-        return pd.concat(out)
-
-    key = ["g", "qpart", "cell", "part"]
-    found = posed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(solve, "row long, query_id long, vec_id long, score long")
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+    def assign(batches):
+        for pdf in batches:
+            far = _distances(lifted(_matrix(pdf["v"], size), True), pivots)
+            cell = far.argmin(1)
+            yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "v": pdf["v"], "cell": cell, "far": far[np.arange(len(far)), cell]})
+
+    rows = stored(data.select("row", "vec_id", "v").mapInPandas(assign, "row long, vec_id long, v array<long>, cell long, far double"), "cells")
+    # blocks of a cell: rings of like distance, as many as its rows need
+    counts = {r.cell: r["count"] for r in rows.groupBy("cell").count().collect()}
+    most = max(1, -(-max(counts.values()) // block_rows))
+    edges = {c: np.zeros(0) for c in counts}
+    if most > 1:
+        steps = [i / most for i in range(1, most)]
+        for r in rows.groupBy("cell").agg(F.percentile_approx("far", steps, max(1000, 10 * most)).alias("cuts")).collect():
+            need = -(-counts[r.cell] // block_rows)
+            edges[r.cell] = np.array([r.cuts[i * most // need - 1] for i in range(1, need)], float)
+
+    def place(batches):
+        for pdf in batches:
+            part = np.zeros(len(pdf), np.int64)
+            for c in pdf["cell"].unique():
+                here = (pdf["cell"] == c).to_numpy()
+                far, row = pdf["far"].to_numpy()[here], pdf["row"].to_numpy()[here]
+                lo, hi = np.searchsorted(edges[c], far, "left"), np.searchsorted(edges[c], far, "right")
+                part[here] = lo + row % (hi - lo + 1)  # rows on several equal cuts are spread over their rings
+            yield pdf.assign(part=part)
+
+    placed = stored(rows.mapInPandas(place, "row long, vec_id long, v array<long>, cell long, far double, part long"), "blocks")
+    facts = placed.groupBy("cell", "part").agg(F.min("far"), F.max("far")).collect()
+    blocks = Blocks(facts, pivots, reach)
+    asks = data.where(is_query).select("row", "vec_id", "v")
+
+    def first(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _matrix(pdf["v"], size)
+            at = np.array([blocks.least(f).argmin() for f in _distances(lifted(x, False), pivots)], np.int64)
+            yield pd.DataFrame({"cell": blocks.cell[at], "part": blocks.part[at], "ask": 1, "row": pdf["row"], "vec_id": pdf["vec_id"], "v": list(x.astype(np.int64))})
+
+    def others(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = _matrix(pdf["v"], size)
+            # a row of the k-th score so far is this far away
+            near = np.sqrt(np.maximum((x * x).sum(1) + reach - 2 * pdf["kth"].fillna(-np.inf).to_numpy(float), 0))
+            met = list(zip(pdf["cell"], pdf["part"]))
+            go = [np.nonzero((blocks.least(f) <= near[i]) & ((blocks.cell != met[i][0]) | (blocks.part != met[i][1])))[0]
+                  for i, f in enumerate(_distances(lifted(x, False), pivots))]
+            at, ask = np.concatenate([*go, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(x)), [len(g) for g in go])
+            if len(at):
+                yield pd.DataFrame({"cell": blocks.cell[at], "part": blocks.part[at], "ask": 1, "row": pdf["row"].to_numpy()[ask],
+                                    "vec_id": pdf["vec_id"].to_numpy()[ask], "v": list(x.astype(np.int64)[ask])})
+
+    layout = "cell long, part long, ask int, row long, vec_id long, v array<long>"
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("v")))
+    there = placed.select("cell", "part", F.lit(0).alias("ask"), "row", "vec_id", padded.alias("v"))
+
+    def round_(queries):
+        asked = F.broadcast(queries.select("cell", "part").distinct())  # at most a row for each block
+        both = there.join(asked, ["cell", "part"], "left_semi").select(*queries.columns).union(queries)
+        both = both.repartition("cell", "part").sortWithinPartitions("cell", "part", "ask")
+        return stored(both.mapInArrow(_meet(size, k, QUERY_ROWS), kind), "met")
+
+    begun = stored(asks.mapInPandas(first, layout), "first")
+    one = round_(begun)
+    kth = one.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("kth"))
+    return one.union(round_(stored(begun.join(kth, "row", "left").mapInPandas(others, layout), "others")))

@@ -14,16 +14,17 @@ def brute(rows, k=5):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None
           and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
-        found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    for n, (q, a) in enumerate(ok):
+        if q % 50 == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(ok) if m != n)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
 def run(spark, rows):
     df = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0) for i, v in rows], KIND)
     data = topk.integer_vectors(df.withColumn("v", F.lit(1)).withColumn("cell", F.lit(2)))
-    return sorted(tuple(r) for r in topk.top_k(data, data.where("vec_id % 50 = 0")).collect())
+    return sorted(tuple(r) for r in topk.top_k(data, "vec_id % 50 = 0").collect())
 
 
 def vectors(n, size, seed, clusters=0):
@@ -54,21 +55,32 @@ def test_defined_cases(spark):
     assert run(spark, []) == [] and run(spark, [(1, [1, 2])]) == [] and run(spark, [(0, [1.0])]) == []
 
 
-def test_pruning_sends_less_than_everything(spark):
-    rows = vectors(2000, 4, 9, 12)
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], KIND)
+def test_clustered_vectors_are_sent_once_and_queries_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DATA_ROWS", 100)
+    kept = {}
+    stored = topk.stored
+    monkeypatch.setattr(topk, "stored", lambda df, name: kept.setdefault(name, []).append(stored(df, name)) or kept[name][-1])
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6)) * 3
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(centres[rng.integers(0, 12, 4000)] + .05 * rng.normal(size=(4000, 6)))]
     assert run(spark, rows) == brute(rows)
-    assert df.count() == 2000
+    blocks, data, first, others = kept["blocks"][0], 4000, kept["first"][0].count(), kept["others"][0].count()
+    n_blocks = blocks.select("cell", "part").distinct().count()
+    assert blocks.count() == data and first == 80 and n_blocks >= 40
+    sizes = [r["count"] for r in blocks.groupBy("cell", "part").count().collect()]
+    assert max(sizes) <= 150
+    assert others < 0.35 * first * n_blocks  # most blocks are excluded for most queries
+    for name in ("met",):
+        assert all(t.count() <= 5 * (first + others) for t in kept[name])
 
 
-def test_repeated_query_ids(spark):
+def test_repeated_ids_are_rows(spark):
     longest = [(50, [9.0, 9.0, 9.0])] * 6  # all of distance 0 to their pivot
     rows = longest + [(i, v) for i, v in vectors(30, 3, 4) if i]
     assert run(spark, rows) == brute(rows)
-    assert len(run(spark, rows)) == 5
+    assert len(run(spark, rows)) == 30
     rows += [(50, [-1.0, 2.0, 0.5]), (50, [0.0, -3.0, 1.0])]  # further vectors of one query id
     assert run(spark, rows) == brute(rows)
-    assert len(run(spark, rows)) == 15
     rows = vectors(400, 4, 8, 5) + [(100, v) for _, v in vectors(20, 4, 21)] + [(150, [3.0, 3.0, 3.0, 3.0])] * 30
     assert run(spark, rows) == brute(rows)
 
