@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -136,3 +137,53 @@ def test_dual_descent_reaches_the_primal_optimum():
         d = np.zeros_like(w)
         d[:5] = rng.normal(0, 0.05, 5)
         assert loss(w + d, b + rng.normal(0, 0.05)) >= best - 0.05
+
+
+def test_fm_margin_is_the_sum_over_all_pairs():
+    texts, _, bad = corpus(300)
+    model = toxicity.fit(np.array(bad, np.int8), [toxicity.terms(t) for t in texts])
+    known = {t: i for i, t in enumerate(model["terms"].tolist())}
+    for text in [*texts[:40], "", "nothing known here"]:
+        at = [known[t] for t in toxicity.terms(text).tolist() if t in known]
+        naive = model["bias"] + sum(float(model["w"][i]) for i in at)
+        for n, i in enumerate(at):
+            for j in at[n + 1:]:
+                naive += float(model["v"][i].astype(float) @ model["v"][j].astype(float))
+        assert toxicity._margins(model, [toxicity.terms(text)])[0] == pytest.approx(naive, abs=1e-4)
+
+
+def naive_places(text):
+    """Words, and runs of one to three word shapes, hashed one at a time."""
+    import zlib
+    mask = (1 << 64) - 1
+
+    def shape(word):
+        out = ""
+        for c in word:
+            kind = "A" if c.isalpha() and c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if 32 < ord(c) < 127 else "o"
+            if not out.endswith(kind):
+                out += kind
+        return out.encode("latin-1")
+
+    words = text.split()
+    one = [zlib.crc32(shape(w)) << 32 | zlib.crc32(b"s" + shape(w)) for w in words]
+    one = [1 if i and words[i] == words[i - 1] else h for i, h in enumerate(one)]
+    mix = int(quality._MIX)
+    two = [(a * 31 + b) * mix & mask for a, b in zip(one, one[1:])]
+    three = [(a * 31 + b) * mix & mask for a, b in zip(two, one[2:])]
+    out = {(h * mix & mask) >> quality._BITS for h in one} | {h >> quality._BITS for h in two + three}
+    return out | {zlib.crc32(w.encode()) % quality.PLACES for w in text.lower().split()}
+
+
+def test_quality_score_is_the_naive_sum():
+    texts, good, _ = corpus(300)
+    model = quality.fit(np.array(good, np.int8), [quality.indicators(t) for t in texts])
+    odd = ["", "a", "Buy BUY buy NOW!!! 12,50 Ünder über 1 1 1", "x" * 500 + " y"]
+    margins = []
+    for text in texts[:40] + odd:
+        at = naive_places(text)
+        assert set(quality.indicators(text).tolist()) == at
+        length = math.sqrt(sum(float(model["ratio"][i]) ** 2 for i in at))
+        margins.append(sum(float(model["w"][i]) for i in at) / max(1e-9, length) + model["bias"])
+    got = quality.score_texts(model)(texts[:40] + odd)
+    assert got == pytest.approx(quality.share(np.array(margins), model["curve"]), abs=1e-5)

@@ -75,7 +75,9 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
             columns = table.columns
             table = common.stored(stage(spark, table, str(tmp_path)), "odd-stage")
             assert name == "tokens" or table.columns == columns
-        assert table.count() == (0 if not rows else table.count())
+        # the four texts without words are one group
+        assert table.count() <= 2 and (table.count() > 0) == bool(rows)
+        assert {r.doc_id for r in table.collect()} <= {None, 1, 2, 3}
 
 
 def test_no_score_is_nan(spark):
