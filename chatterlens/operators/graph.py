@@ -66,7 +66,7 @@ def connected_components(verts: DataFrame, edges: DataFrame, src: str = "u", dst
         ls = d.filter(F.col("v") > F.col("u")).join(m, "u")
         ls = _norm_edges(ls, "v", "m")
         # small star: u and its lower neighbours link to the least of them
-        mm = ls.groupBy("b").agg(F.min("a").alias("m"))
+        mm = cut_lineage(ls.groupBy("b").agg(F.min("a").alias("m")))
         ss = ls.join(mm, "b").select(F.col("a").alias("x"), F.col("m").alias("y")).unionByName(
             mm.select(F.col("b").alias("x"), F.col("m").alias("y")))
         e = cut_lineage(_norm_edges(ss, "x", "y"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import graph as G
-from ..sources.fixtures import comments_view
+from ..sources.fixtures import comments_view, pooled_comments_view
 from .common import COMMENTS_CTE, Query, finalize
 
 
@@ -45,6 +45,27 @@ def q_negative_edges(spark, sf):
     return finalize(G.negative_edges(G.giant_component_edges(cc, e)))
 
 
+def _pooled(spark, sf):
+    c = pooled_comments_view(spark, sf)
+    e = G.reply_edges(c)
+    return G.connected_components(G.vertices(c), e), e
+
+
+def q_forum_components(spark, sf):
+    """Components of a reply graph that falls into several."""
+    return finalize(_pooled(spark, sf)[0])
+
+
+def q_forum_component_sizes(spark, sf):
+    return finalize(G.component_sizes(_pooled(spark, sf)[0]))
+
+
+def q_forum_negative_edges(spark, sf):
+    """Edges of negative weight in the largest of several components."""
+    cc, e = _pooled(spark, sf)
+    return finalize(G.negative_edges(G.giant_component_edges(cc, e)))
+
+
 def q_forest_views(spark, sf):
     return finalize(G.forest_views(comments_view(spark, sf), 5))
 
@@ -78,7 +99,14 @@ SELECT *, (SELECT min(weight) FROM ge) AS min_weight FROM ge WHERE weight < 0"""
 count(*) FILTER (WHERE depth = 0) AS n_top_level FROM comments GROUP BY 1 HAVING count(*) >= 5""",
 }
 
+_POOLED = COMMENTS_CTE.replace("'a' || CAST((conv_id * 7 + turn * 3) % 97 AS VARCHAR)",
+                               "'f' || CAST(conv_id % 7 AS VARCHAR) || '_' || CAST((conv_id * 7 + turn * 3) % (13 + conv_id % 7) AS VARCHAR)") \
+    .replace("% 41 - 10", "% 41 - 25")
+for _name, _of in (("forum_components", "connected_components"), ("forum_component_sizes", "component_sizes"), ("forum_negative_edges", "negative_edges")):
+    SQL[_name] = SQL[_of].replace(COMMENTS_CTE, _POOLED)
+
 _ids = {
+    "forum_components": ("G03",), "forum_component_sizes": ("G03", "G04"), "forum_negative_edges": ("G04", "G05"),
     "comment_parents": ("J07",), "reply_edges": ("G01",), "graph_vertices": ("G02",),
     "connected_components": ("G03",), "component_sizes": ("G03",), "giant_component_edges": ("G04",),
     "negative_edges": ("G05",), "forest_views": ("G06",),

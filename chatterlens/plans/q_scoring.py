@@ -10,7 +10,7 @@ from ..functions.timeparts import day_of_year0, weekday_mon0
 from ..operators import models as MD
 from ..operators import terms
 from ..operators import vectors as V
-from ..operators.ordering import sorted_copy
+from ..operators.ordering import sorted_copy, sum_before
 from ..session import scratch_path
 from ..sources.fixtures import posts_view
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
@@ -134,11 +134,12 @@ def q_community_samples(spark, sf):
 
 
 def q_seeded_shuffle(spark, sf):
-    """A seeded order of all posts: position by hash, without one task."""
-    p = posts_view(spark, sf).select("id").withColumn("h", F.xxhash64("id", F.lit(7)))
+    """A seeded order of all posts, each with its place, without one task."""
+    p = posts_view(spark, sf).select("id", F.md5(F.concat(F.lit("7:"), F.col("id"))).alias("h"))
     s = sorted_copy(p, ["h", "id"])
-    return finalize(s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_rn").alias("places"), F.max("_rn").alias("last"))
-                    .agg(F.sum("n").alias("posts"), F.sum("places").alias("places"), F.sum("last").alias("last")))
+    # one row for each partition of the stored copy
+    offsets = sum_before(s.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")), "n", "before")
+    return finalize(s.join(F.broadcast(offsets), "_pid").select("id", (F.col("before") + F.col("_rn") - 1).alias("place")))
 
 
 def q_related_words(spark, sf):
@@ -210,7 +211,7 @@ a AS (SELECT author, CAST(sum(ups) AS DOUBLE) AS s, avg(ups) AS m, CAST(median(u
 (SELECT 'top' AS kind, id FROM posts ORDER BY ups DESC, id LIMIT {SAMPLE}) UNION ALL
 (SELECT 'new', id FROM posts ORDER BY created_utc DESC, id LIMIT {SAMPLE}) UNION ALL
 (SELECT 'controversial', id FROM posts ORDER BY abs(upvote_ratio - 0.5), ups DESC, id LIMIT {SAMPLE})""",
-    "seeded_shuffle": f"{W} SELECT count(*) AS posts, count(*) AS places, count(*) AS last FROM posts",
+    "seeded_shuffle": f"{W} SELECT id, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS place FROM posts",
     "cluster_words": f"""{W}, {token_ctes()},
 vocab AS (SELECT DISTINCT word FROM words)
 SELECT word FROM vocab WHERE ascii(word) % 5 IN (SELECT ascii(word) % 5 FROM vocab WHERE word = 'thing')""",

@@ -66,3 +66,14 @@ def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((cid * 13 + turn * 29) % 41 - 10).cast("bigint").alias("score"),
         F.col("text").alias("selftext"),
     )
+
+
+def pooled_comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``comments`` of seven forums with authors of their own, who also get scores
+    far below zero."""
+    cid, turn = F.col("conv_id"), F.col("turn")
+    return comments_view(spark, sf_dir).drop("author", "score").join(
+        table(spark, sf_dir, "conversations").select(
+            F.concat(cid.cast("string"), F.lit("_"), turn.cast("string")).alias("name"),
+            F.concat(F.lit("f"), (cid % 7).cast("string"), F.lit("_"), ((cid * 7 + turn * 3) % (13 + cid % 7)).cast("string")).alias("author"),
+            ((cid * 13 + turn * 29) % 41 - 25).cast("bigint").alias("score")), "name")
