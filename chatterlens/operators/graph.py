@@ -49,9 +49,9 @@ def connected_components(verts: DataFrame, edges: DataFrame, src: str = "u", dst
     round is two ``min`` aggregates and two joins on the vertex key, and the
     edge set contracts towards one star per component centred on its minimum
     in O(log^2 n) rounds.  Rounds go on until the edge set is unchanged, by its
-    count and an order-free hash.  The minima of a round are stored before they
-    are joined back, so that both sides of the join are dealt by an exchange
-    and AQE can split the rows of a hub.
+    count and an order-free hash.  The minima of the large star are stored
+    before they are joined back, so that both sides of the join are dealt by an
+    exchange and AQE can split the rows of a hub; those of the small star are not.
     """
     def state(d):
         return tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -66,7 +66,7 @@ def connected_components(verts: DataFrame, edges: DataFrame, src: str = "u", dst
         ls = d.filter(F.col("v") > F.col("u")).join(m, "u")
         ls = _norm_edges(ls, "v", "m")
         # small star: u and its lower neighbours link to the least of them
-        mm = cut_lineage(ls.groupBy("b").agg(F.min("a").alias("m")))
+        mm = ls.groupBy("b").agg(F.min("a").alias("m"))
         ss = ls.join(mm, "b").select(F.col("a").alias("x"), F.col("m").alias("y")).unionByName(
             mm.select(F.col("b").alias("x"), F.col("m").alias("y")))
         e = cut_lineage(_norm_edges(ss, "x", "y"))
