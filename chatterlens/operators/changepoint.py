@@ -26,7 +26,7 @@ per date, so no group grows with the post count.
 
 Outputs per word: ``confidence`` (posterior P(delta = 1)), ``mu_1``, ``mu_2``
 (posterior means of a/(a+b) before / after the change, given a change),
-``mu_diff``, ``tau_map`` (date of the histogram's mode, earliest on ties),
+``mu_diff``, ``tau_map`` (date of the histogram's mode, earliest of those equal to 9 places),
 ``tau_std`` and ``entropy`` of the tau histogram, where the histogram is the
 mixture ``confidence * p(tau | change) + (1 - confidence) * prior(tau)`` that
 a sampler's trace of tau would show.  Words with fewer than 3 points or a
@@ -223,7 +223,7 @@ def change_points(series: DataFrame, key: str = "word", value_col: str = "share"
         F.first("confidence").alias("confidence"),
         F.sum(F.col("post") * F.col("mu_l")).alias("mu_1"),
         F.sum(F.col("post") * F.col("mu_r")).alias("mu_2"),
-        F.max_by(F.col(date_col), F.struct(F.col("hist"), -F.col(idx_col))).alias("tau_map"),
+        F.max_by(F.col(date_col), F.struct(F.round("hist", 9), -F.col(idx_col))).alias("tau_map"),
         F.sum(F.col("hist") * k).alias("_t1"),
         F.sum(F.col("hist") * k * k).alias("_t2"),
         F.sum(entropy_term(F.col("hist"))).alias("entropy"),

@@ -259,7 +259,7 @@ ce AS (SELECT *, lpmax + ln(sum(exp(lp - lpmax)) OVER (PARTITION BY key)) AS e1
 cf AS (SELECT *, CASE WHEN idx < n - 1 THEN exp(lp - e1) ELSE 0.0 END AS post, {conf} AS confidence FROM ce),
 cg AS (SELECT *, confidence * post + (1 - confidence) * prior AS hist FROM cf),
 cres AS (SELECT key, max(confidence) AS confidence, sum(post * mu_l) AS mu_1, sum(post * mu_r) AS mu_2,
-                first(date ORDER BY hist DESC, idx ASC) AS tau_map,
+                first(date ORDER BY round(hist, 9) DESC, idx ASC) AS tau_map,
                 sqrt(greatest(sum(hist * idx * idx) - sum(hist * idx) ^ 2, 0)) AS tau_std,
                 sum(CASE WHEN hist > 0 THEN -hist * ln(hist) ELSE 0 END) AS entropy
          FROM cg GROUP BY key),
