@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import reconstruct_votes
 from ..session import cut_lineage
+from . import orderstat
 
 EXCLUDED_AUTHORS = ["None", "AutoModerator"]   # fixed values: P11
 
@@ -54,12 +55,12 @@ def popular_authors(posts: DataFrame, min_mean: float = 200.0, value_col: str =
 def describe(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
     """Count, mean, std, min, quartiles (linear interpolation), max.
 
-    The exact quartiles buffer one count per distinct value in the final
-    reduction; ``exact=False`` uses a bounded-memory quantile sketch for
-    columns with very many distinct values."""
+    The exact quartiles come from distributed selection (:mod:`.orderstat`), so no
+    task holds the distinct values; ``exact=False`` uses a quantile sketch in one pass."""
     c = F.col(col)
     if exact:
-        q = [F.percentile(c, x) for x in (0.25, 0.5, 0.75)]
+        found = orderstat.quantiles(df, [], col, (0.25, 0.5, 0.75))
+        q = [found.filter(F.col("q") == x).select("value").scalar() for x in (0.25, 0.5, 0.75)]
     else:
         q = [F.percentile_approx(c, x, 10000).cast("double") for x in (0.25, 0.5, 0.75)]
     return df.agg(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeparts import day_of_year0, utc_ts, weekday_mon0
 from .ordering import sorted_copy, sum_before
+from .orderstat import quantile
 
 # --- fixed values: categorical slot sizes of the time inputs ------------------
 SLOT_SIZES = {"minute": 60, "hour": 24, "weekday": 7, "doy": 366}
@@ -63,8 +64,8 @@ def time_features(posts: DataFrame, train: DataFrame | None = None) -> DataFrame
 def median_label(df: DataFrame, value_col: str = "ups", rule: str = "median", threshold: float | None = None,
                  train: DataFrame | None = None):
     """label = value > median of ``train`` (all rows where none is
-    given), or > threshold for ``rule="threshold"``."""
-    thr = (df if train is None else train).agg(F.median(value_col)).scalar() if rule == "median" else F.lit(float(threshold))
+    given; exact, by distributed selection), or > threshold for ``rule="threshold"``."""
+    thr = quantile(df if train is None else train, value_col) if rule == "median" else F.lit(float(threshold))
     return df.withColumn("label", (F.col(value_col) > thr).cast("double"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import authors as au
+from ..operators.orderstat import describe
 from ..session import cut_lineage
 from ..sources.fixtures import posts_view
 from .common import POSTS_CTE, Query, finalize, wrap_sql
@@ -30,6 +31,11 @@ def q_author_describe(spark, sf):
     return finalize(au.describe(au.author_table(_posts(spark, sf)), "ups_sum"))
 
 
+def q_community_describe(spark, sf):
+    """A11 per community: exact count, mean, std, min, quartiles and max of the votes."""
+    return finalize(describe(posts_view(spark, sf), "ups", ["subreddit"]))
+
+
 def q_author_shrinkage(spark, sf):
     t, default = au.beta_shrinkage(au.with_votes(_posts(spark, sf)))
     return finalize(t.select("author", "ups", "downs", "beta_mean", default.alias("prior_mean")))
@@ -92,6 +98,10 @@ SQL_AUTHOR_DESCRIBE = wrap_sql(f"""{P}, t AS (SELECT author, sum(ups) AS s FROM
 SELECT count(s) AS count, avg(s) AS mean, stddev_samp(s) AS std, CAST(min(s) AS DOUBLE) AS min,
        quantile_cont(s, 0.25) AS p25, quantile_cont(s, 0.5) AS p50, quantile_cont(s, 0.75) AS p75,
        CAST(max(s) AS DOUBLE) AS max FROM t""", doubles=("mean", "std", "min", "p25", "p50", "p75", "max"))
+SQL_COMMUNITY_DESCRIBE = wrap_sql(f"""WITH {POSTS_CTE}
+SELECT subreddit, count(ups) AS count, avg(ups) AS mean, stddev_samp(ups) AS std, CAST(min(ups) AS DOUBLE) AS min,
+       quantile_cont(ups, 0.25) AS p25, quantile_cont(ups, 0.5) AS p50, quantile_cont(ups, 0.75) AS p75,
+       CAST(max(ups) AS DOUBLE) AS max FROM posts GROUP BY subreddit""", doubles=("mean", "std", "min", "p25", "p50", "p75", "max"))
 SQL_AUTHOR_SHRINK = wrap_sql(f"""{P}{VOTES},
 pr AS (SELECT sum(r_ups) AS a, sum(r_downs) AS b FROM vv),
 ag AS (SELECT author, sum(r_ups) AS ups, sum(r_downs) AS downs FROM vv GROUP BY author)
@@ -143,6 +153,7 @@ QUERIES = [
     Query("author_table", q_author_table, SQL_AUTHOR_TABLE, ("A09", "P11")),
     Query("popular_authors", q_popular_authors, SQL_POPULAR_AUTHORS, ("A10",)),
     Query("author_describe", q_author_describe, SQL_AUTHOR_DESCRIBE, ("A11",)),
+    Query("community_describe", q_community_describe, SQL_COMMUNITY_DESCRIBE, ("A11", "A28")),
     Query("author_shrinkage", q_author_shrinkage, SQL_AUTHOR_SHRINK, ("A12", "M01")),
     Query("author_shrinkage_moments", q_author_shrinkage_moments, SQL_AUTHOR_SHRINK_MOM, ("A13", "M05")),
     Query("author_power_law", q_author_power_law, SQL_POWER_LAW, ("A14",)),

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import timeparts as D
 from ..operators import clean as C
 from ..operators import terms
+from ..operators.orderstat import quantile
 from ..operators.similarity import sorted_lag
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, STOPS_SQL, finalize, wrap_sql
@@ -226,7 +227,7 @@ def q_award_struct_total(spark, sf):
 
 def q_median_label(spark, sf):
     p = _p(spark, sf)
-    med = p.agg(F.median("ups")).scalar()
+    med = quantile(p, "ups")
     lab = p.select((F.col("ups") > med).cast("int").alias("label"))
     return finalize(lab.agg(F.avg("label").alias("pos_rate"),
                             (F.lit(1.0) - F.avg("label")).alias("majority_baseline")))

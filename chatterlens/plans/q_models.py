@@ -16,6 +16,7 @@ from ..operators import authors as au
 from ..operators import models as MD
 from ..operators import terms
 from ..operators import vectors as V
+from ..operators.orderstat import exact_split
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, wrap_sql
 
@@ -172,6 +173,13 @@ def q_hash_splits(spark, sf):
     return finalize(out.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
 
 
+def q_exact_split(spark, sf):
+    """Every post with its part of a split stratified by community, 3/4 to 1/4; each
+    community's quota is met exactly."""
+    p = posts_view(spark, sf).select("id", "subreddit")
+    return finalize(exact_split(p, ["subreddit"], (0.75, 0.25), seed=7))
+
+
 def q_binary_metrics(spark, sf):
     """Metrics of a fixed score (upvote ratio) against the median label."""
     p = MD.median_label(posts_view(spark, sf))
@@ -192,6 +200,9 @@ def q_dummy_baselines(spark, sf):
 
 W = f"WITH {POSTS_CTE}"
 SQL = {
+    "exact_split": f"""{W}, o AS (SELECT id, subreddit, count(*) OVER (PARTITION BY subreddit) AS n,
+  row_number() OVER (PARTITION BY subreddit ORDER BY CAST('0x' || substr(md5(id || '-7'), 1, 15) AS BIGINT), id) AS nth FROM posts)
+SELECT id, subreddit, CAST(nth > floor(n * 0.75 + 0.5) AS BIGINT) AS part FROM o""",
     "binary_metrics": wrap_sql(f"""{W}, m AS (SELECT median(ups) AS med FROM posts),
 l AS (SELECT CAST(ups > med AS DOUBLE) AS y, upvote_ratio AS s FROM posts, m),
 b AS (SELECT avg(CAST((CAST(s > 0.75 AS DOUBLE)) = y AS DOUBLE)) AS accuracy,
@@ -222,6 +233,7 @@ _ids = {
     "cross_validation": ("R16", "E09"),
     "embedding_logistic": ("R20", "N05"),
     "hash_splits": ("L09", "L10", "L12"),
+    "exact_split": ("L10",),
     "binary_metrics": ("R17",),
     "percent_rank_label": ("W01",),
     "dummy_baselines": ("R15",),
