@@ -13,6 +13,8 @@ from ..session import cut_lineage
 from ..operators import clusters as KC
 from ..operators import similarity as S
 from ..operators import terms
+from ..operators.affinity import author_clusters
+from ..operators.authors import EXCLUDED_AUTHORS
 from ..operators import vectors as V
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
@@ -174,6 +176,12 @@ def q_pic_clusters(spark, sf):
     return KC.affinity_clusters(d, k=3)
 
 
+def q_author_affinity(spark, sf):
+    """Authors clustered by the rare words that they share."""
+    tok = terms.with_tokens(posts_view(spark, sf)).filter(~F.col("author").isin(EXCLUDED_AUTHORS))
+    return finalize(author_clusters(tok.select("author", "tokens"), k=4))
+
+
 # ---------------------------------------------------------------- SQL twins
 T2 = token_ctes(stop=False)
 RULE = ("[CAST(length(word) AS DOUBLE), CAST(ascii(word) - 96 AS DOUBLE), CAST((length(word) * 7) % 5 AS DOUBLE), "
@@ -281,7 +289,7 @@ _ids = {
     "embedding_clusters": ("K04", "K06"), "repost_pairs": ("X06", "J10"),
     "neighbourhood_transport": ("J10", "X02", "X03", "M10"), "lsh_pairs": ("X07",), "author_clouds": ("X08",),
     "word2vec": ("E01",), "word_kmeans": ("K01", "E17"), "max_cluster": ("K03",), "most_similar": ("E03", "E04"),
-    "pca_variance": ("E11", "E14"), "post_kmeans": ("K02", "K08"), "pic_clusters": ("K07", "M12"),
+    "pca_variance": ("E11", "E14"), "post_kmeans": ("K02", "K08"), "pic_clusters": ("K07", "M12"), "author_affinity": ("K07",),
 }
 
 QUERIES = [Query(n, globals()[f"q_{n}"], SQL.get(n), _ids[n]) for n in _ids]

@@ -7,7 +7,11 @@
   the spans up, so the state is bounded by the watermark and yet every post's
   whole history counts.
 
-Both run in *update* mode through ``foreachBatch``: every micro-batch writes
+* Z02 ``session_stream``: the same polls, repeated ones dropped, cut into sessions
+  wherever a post is not polled for longer than ``gap``; a session is written once,
+  when the watermark has passed its end (append mode, the only one for sessions).
+
+The first two run in *update* mode through ``foreachBatch``: every micro-batch writes
 its changed rows under ``<out>/batch=<id>`` (overwrite of that one folder, so
 a retried batch is idempotent), and :func:`latest_rows` reads the sink back
 keeping each key's row from the highest batch.  The watermark bounds the
@@ -30,17 +34,27 @@ def _upsert_sink(out: str):
     return write
 
 
-def run_available_now(stream: DataFrame, name: str, run: tuple[str, str] | None = None) -> tuple[str, str]:
+def run_available_now(stream: DataFrame, name: str, run: tuple[str, str] | None = None, mode: str = "update",
+                      late: dict | None = None) -> tuple[str, str]:
     """Drive ``stream`` over everything available, then stop; returns the sink
-    and checkpoint folders, which ``run`` of a later call goes on with."""
+    and checkpoint folders, which ``run`` of a later call goes on with.  ``late``
+    gets, for each micro-batch, the number of rows that came behind the watermark
+    and were left out."""
     spark = stream.sparkSession
     out, ckpt = run or (scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt"))
-    q = (stream.writeStream.outputMode("update").foreachBatch(_upsert_sink(out))
+    q = (stream.writeStream.outputMode(mode).foreachBatch(_upsert_sink(out))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    while not q.awaitTermination(1):  # progress is kept for the last batches only
+        _count_late(q, late)
+    _count_late(q, late)
     return out, ckpt
 
 
+def _count_late(q, late: dict | None) -> None:
+    for p in q.recentProgress if late is not None else []:
+        late[p["batchId"]] = sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+
+
 def latest_rows(spark: SparkSession, out: str, keys) -> DataFrame:
     """Read an update-mode sink back: the last written row per key."""
     df = spark.read.parquet(out)
@@ -67,6 +81,22 @@ def snapshot_stream(polls: DataFrame, delay: str = "3 hours", span: str = "1 day
         F.count(F.lit(1)).alias("polls"))
 
 
+def session_stream(polls: DataFrame, gap: str = "65 minutes", delay: str = "3 hours") -> DataFrame:
+    """Z02 as sessions of a streaming source of ``(post_id, ts, score)`` polls: first and
+    last score and poll count of each run of polls that are at most ``gap`` apart.
+
+    A poll that is sent again (same post, time and score) counts once: its key stays in
+    the state for as long as the watermark lets its time in, and is late after that.
+    Late polls are left out and counted (:func:`run_available_now`).  Polls without a
+    post or a time belong to no session; they only move the watermark on."""
+    once = polls.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["post_id", "ts", "score"])
+    at = F.struct("ts", "score")
+    return once.groupBy("post_id", F.session_window("ts", gap).alias("session")).agg(
+        F.min_by("score", at).alias("first_score"), F.max_by("score", at).alias("last_score"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("polls")) \
+        .filter(F.col("post_id").isNotNull())
+
+
 def per_post(spans: DataFrame) -> DataFrame:
     """First / last score and poll count of each post from its spans."""
     return spans.groupBy("post_id").agg(F.min_by("first_score", "span.start").alias("first_score"),
