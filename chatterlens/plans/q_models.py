@@ -16,7 +16,8 @@ from ..operators import authors as au
 from ..operators import models as MD
 from ..operators import terms
 from ..operators import vectors as V
-from ..operators.orderstat import exact_split
+from ..operators.crossval import kfold_naive_bayes
+from ..operators.orderstat import exact_split, split_key
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, wrap_sql
 
@@ -151,6 +152,16 @@ def q_cross_validation(spark, sf):
                                           "params string, avg_accuracy double"))
 
 
+def q_kfold_metrics(spark, sf):
+    """5 folds of naive Bayes on the words of whole labelled documents, test and train
+    scores, fitted from total minus fold."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").filter(F.col("quality").isNotNull())
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = d.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), words.alias("words"),
+                    (split_key("doc_id", 7) % 5).alias("fold"))
+    return finalize(kfold_naive_bayes(rows, 5))
+
+
 def q_embedding_logistic(spark, sf):
     """Logistic regression on stored vectors vs the majority class."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"),
@@ -200,6 +211,25 @@ def q_dummy_baselines(spark, sf):
 
 W = f"WITH {POSTS_CTE}"
 SQL = {
+    "kfold_metrics": wrap_sql("""WITH r AS (SELECT row_number() OVER () AS row, quality AS y, text,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '-7'), 1, 15) AS BIGINT) % 5 AS fold
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+t AS (SELECT row, y, fold, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM r),
+c AS (SELECT row, word, count(*) AS c FROM t GROUP BY ALL),
+m AS (SELECT range AS model FROM range(5)),
+f AS (SELECT model, word, sum(CAST(y = 1 AS INT)) AS n1, sum(CAST(y = 0 AS INT)) AS n0 FROM t JOIN m ON fold <> model GROUP BY ALL),
+z AS (SELECT model, sum(n1) + count(*) AS z1, sum(n0) + count(*) AS z0 FROM f GROUP BY model),
+p AS (SELECT model, ln(sum(CAST(y = 1 AS INT)) / sum(CAST(y = 0 AS INT))) AS prior FROM r JOIN m ON fold <> model GROUP BY model),
+w AS (SELECT model, word, ln((n1 + 1) / (n0 + 1)) + ln(z0 / z1) AS w FROM f JOIN z USING (model)),
+e AS (SELECT model, row, sum(c * w) AS s FROM c JOIN w USING (word) GROUP BY ALL),
+x AS (SELECT m.model, CASE WHEN fold = m.model THEN 'test' ELSE 'train' END AS part, y, round(coalesce(s, 0) + prior, 9) AS s
+  FROM r, m JOIN p ON p.model = m.model LEFT JOIN e ON e.model = m.model AND e.row = r.row),
+k AS (SELECT *, rank() OVER (PARTITION BY model, part ORDER BY s) AS lo, count(*) OVER (PARTITION BY model, part, s) AS ties FROM x)
+SELECT model, part, count(*) AS n, avg(CAST((s > 0) = (y = 1) AS DOUBLE)) AS accuracy,
+  (avg(CAST(s > 0 AS DOUBLE)) FILTER (y = 1) + avg(CAST(s <= 0 AS DOUBLE)) FILTER (y = 0)) / 2 AS balanced_accuracy,
+  (sum(lo + (ties - 1) / 2) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2)
+    / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) AS auc
+FROM k GROUP BY model, part""", doubles=("accuracy", "balanced_accuracy", "auc")),
     "exact_split": f"""{W}, o AS (SELECT id, subreddit, count(*) OVER (PARTITION BY subreddit) AS n,
   row_number() OVER (PARTITION BY subreddit ORDER BY CAST('0x' || substr(md5(id || '-7'), 1, 15) AS BIGINT), id) AS nth FROM posts)
 SELECT id, subreddit, CAST(nth > floor(n * 0.75 + 0.5) AS BIGINT) AS part FROM o""",
@@ -233,7 +263,7 @@ _ids = {
     "cross_validation": ("R16", "E09"),
     "embedding_logistic": ("R20", "N05"),
     "hash_splits": ("L09", "L10", "L12"),
-    "exact_split": ("L10",),
+    "exact_split": ("L10",), "kfold_metrics": ("R16",),
     "binary_metrics": ("R17",),
     "percent_rank_label": ("W01",),
     "dummy_baselines": ("R15",),
