@@ -10,9 +10,11 @@ from ..functions.timeparts import day_of_year0, weekday_mon0
 from ..operators import models as MD
 from ..operators import terms
 from ..operators import vectors as V
+from ..operators.listing import community_listings
 from ..operators.ordering import sorted_copy, sum_before
 from ..session import scratch_path
 from ..sources.fixtures import posts_view
+from ..sources.readers import write_partitioned
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 from .q_models import MAXLEN, PARTS, _fit_eval
 
@@ -133,6 +135,11 @@ def q_community_samples(spark, sf):
     return finalize(out)
 
 
+def q_community_listings(spark, sf):
+    """Top, new, controversial, rising and random posts of every community."""
+    return finalize(community_listings(posts_view(spark, sf), SAMPLE, seed=7))
+
+
 def q_seeded_shuffle(spark, sf):
     """A seeded order of all posts, each with its place, without one task."""
     p = posts_view(spark, sf).select("id", F.md5(F.concat(F.lit("7:"), F.col("id"))).alias("h"))
@@ -182,7 +189,7 @@ def q_written_results(spark, sf):
     table written as CSV, both read back."""
     p = posts_view(spark, sf).withColumn("date", F.to_date(F.timestamp_seconds("created_utc")))
     path = scratch_path(spark, "cleaned")
-    p.select("id", "subreddit", "date", "ups").repartition("subreddit").write.partitionBy("subreddit").parquet(path)
+    write_partitioned(p.select("id", "subreddit", "date", "ups"), path, ["subreddit", "date"], "id")
     table = spark.read.parquet(path).groupBy("subreddit").agg(F.count(F.lit(1)).alias("posts"), F.sum("ups").alias("ups"))
     out = scratch_path(spark, "results")
     table.write.option("header", True).csv(out)
@@ -211,6 +218,15 @@ a AS (SELECT author, CAST(sum(ups) AS DOUBLE) AS s, avg(ups) AS m, CAST(median(u
 (SELECT 'top' AS kind, id FROM posts ORDER BY ups DESC, id LIMIT {SAMPLE}) UNION ALL
 (SELECT 'new', id FROM posts ORDER BY created_utc DESC, id LIMIT {SAMPLE}) UNION ALL
 (SELECT 'controversial', id FROM posts ORDER BY abs(upvote_ratio - 0.5), ups DESC, id LIMIT {SAMPLE})""",
+    "community_listings": f"""{W},
+o AS (SELECT *, max(created_utc) OVER (PARTITION BY subreddit) AS latest FROM posts),
+k AS (SELECT subreddit, id, unnest([
+  {{'kind': 'top', 'a': CAST(ups AS DOUBLE), 'b': 0.0::DOUBLE}}, {{'kind': 'new', 'a': CAST(created_utc AS DOUBLE), 'b': 0.0::DOUBLE}},
+  {{'kind': 'controversial', 'a': -abs(upvote_ratio - 0.5), 'b': CAST(ups AS DOUBLE)}},
+  {{'kind': 'rising', 'a': CAST(ups AS DOUBLE) / ((latest - created_utc) / 3600.0::DOUBLE + 2.0::DOUBLE), 'b': 0.0::DOUBLE}},
+  {{'kind': 'random', 'a': CAST(CAST('0x' || substr(md5(id || '-7'), 1, 15) AS BIGINT) AS DOUBLE), 'b': 0.0::DOUBLE}}]) AS o FROM o)
+SELECT subreddit, o.kind AS kind, row_number() OVER (PARTITION BY subreddit, o.kind ORDER BY o.a DESC NULLS LAST, o.b DESC NULLS LAST, id) AS place, id
+FROM k QUALIFY place <= {SAMPLE}""",
     "seeded_shuffle": f"{W} SELECT id, row_number() OVER (ORDER BY md5('7:' || id), id) - 1 AS place FROM posts",
     "cluster_words": f"""{W}, {token_ctes()},
 vocab AS (SELECT DISTINCT word FROM words)
@@ -225,7 +241,7 @@ FROM posts p LEFT JOIN c ON c.id = p.id GROUP BY p.id""",
 _ids = {
     "title_scores": ("R04",), "date_scores": ("R05", "J12"), "word_effect": ("R07",), "joint_model": ("R18", "E16", "E17"),
     "classifier_variants": ("R02", "R19"), "roc_curve": ("R17",), "linear_fit": ("R11",), "author_rankings": ("L05",),
-    "community_samples": ("L11",), "seeded_shuffle": ("L09",), "related_words": ("K04", "K05"), "cluster_words": ("K04",), "word_coordinates": ("E14",),
+    "community_samples": ("L11",), "community_listings": ("L11",), "seeded_shuffle": ("L09",), "related_words": ("K04", "K05"), "cluster_words": ("K04",), "word_coordinates": ("E14",),
     "saved_word_vectors": ("S11",), "written_results": ("S05", "S09"),
 }
 

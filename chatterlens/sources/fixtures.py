@@ -1,6 +1,6 @@
 """Adapters that derive the canonical ``posts`` and ``comments`` tables from
 the supplied parquet tables, deterministically and with arithmetic DuckDB can
-repeat verbatim (the oracle copies live in :mod:`chatterlens.plans.oracle`).
+repeat verbatim (the SQL copies live in :mod:`chatterlens.plans.common`).
 """
 
 from __future__ import annotations

@@ -114,3 +114,12 @@ def write_labelled_dir(df: DataFrame, path: str) -> None:
     d = df.select(F.when(F.col("label") == 1, "pos").otherwise("neg").alias("label"),
                   F.col("doc_id").alias("doc"), "text")
     d.repartition("doc").write.mode("overwrite").partitionBy("label", "doc").text(path)
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], spread: str, parts: int | None = None) -> None:
+    """Parquet folders by the values of ``by``.  Rows are range-partitioned by ``by``
+    and ``spread`` together, so a small folder is one file or two, and a hot one is
+    written by many tasks, each a file."""
+    order = [*by, spread]
+    parted = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    parted.sortWithinPartitions(*by).write.partitionBy(*by).parquet(path)
