@@ -11,7 +11,8 @@ from tables import SF0001
 NAMES = ["top_words_per_day", "share_series", "change_points", "new_terms", "author_table",
          "author_shrinkage", "one_hit_wonder_curve", "preprocess", "timeparts", "html_text",
          "post_vectors", "tfidf_top_terms", "repost_pairs", "reply_edges", "connected_components",
-         "binary_metrics", "stream_snapshots"]
+         "binary_metrics", "stream_snapshots", "exact_split", "community_describe", "kfold_metrics", "stream_sessions",
+         "community_listings"]
 
 
 def _norm(v):
