@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hashed_word_ids
 from ..operators import terms
 from ..operators import models as MD
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources.fixtures import posts_view, table
 from .common import POSTS_CTE, Query, finalize, token_ctes, wrap_sql
 
@@ -36,13 +36,14 @@ def q_doc_frequency_filter(spark, sf):
 
 def q_repeated_sample_mean(spark, sf, num_samples: int = 20, sample_size: int = 50, seed: int = 11):
     """``num_samples`` means of ``sample_size`` posts drawn without
-    replacement (a seeded hash ranks the posts inside each replicate; the
-    top-k window is cut per partition before the shuffle)."""
-    p = posts_view(spark, sf).select("id", "ups")
-    r = p.select("id", "ups", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("rep"))
-    r = r.withColumn("h", F.xxhash64("id", "rep", F.lit(seed)))
-    top = r.withColumn("rk", F.row_number().over(Window.partitionBy("rep").orderBy("h", "id"))) \
-        .filter(F.col("rk") <= sample_size)
+    replacement: in each replicate the posts of the least seeded hashes, found by a
+    top-k that holds ``sample_size`` rows a task."""
+    p = stored(posts_view(spark, sf).select("id", "ups"), "votes")
+    top = None
+    for rep in range(num_samples):
+        drawn = p.select("id", "ups", F.lit(rep).alias("rep"), F.xxhash64("id", F.lit(rep), F.lit(seed)).alias("h")) \
+            .orderBy("h", "id").limit(sample_size)
+        top = drawn if top is None else top.unionByName(drawn)
     means = top.groupBy("rep").agg(F.avg("ups").alias("sample_mean"), F.count(F.lit(1)).alias("n"))
     return finalize(means.withColumn("mean_of_means", F.avg("sample_mean").over(Window.partitionBy(F.lit(1)))))
 
