@@ -10,9 +10,10 @@ first two of them within a prefix longer by one, so rows of a hot word carry bot
 sets so small that one shared word is enough meet on it alone, and each such pair is
 a result.  Pairs that are left are verified on the words themselves.
 
-``lsh_pairs`` is approximate: sets meet where all ``rows`` minimum hashes of a band
-agree, never on one hash.  Its recall is measured against the exact join in the tests
-(1 - (1 - s^rows)^bands for similarity s).
+``lsh_pairs`` is approximate: it finds the sets that agree on all ``rows`` minimum hashes
+of a band, never on one hash.  Its recall is measured against the exact join in the tests
+(1 - (1 - s^rows)^bands for similarity s).  Long texts of one language agree in a band
+without being close, so sets meet on a prefix word, a hot one split by the bands.
 
 Both work on distinct sets (:func:`distinct_sets`), so copies of a text are one row
 with a member count and never pairs.  Empty sets take no part.
@@ -53,73 +54,102 @@ def _least(t: Fraction, n) -> Column:
     return F.floor((F.lit(t.numerator) * n + F.lit(t.denominator - 1)) / F.lit(t.denominator)).cast("int")
 
 
-def _joined(rows: DataFrame, keys: list[str], t: Fraction) -> DataFrame:
+def _joined(rows: DataFrame, keys: list[str], shared: int, t: Fraction) -> DataFrame:
     """Pairs of rows ``(keys, rep, n, left)`` of equal keys that pass the size and place
-    filters; ``left`` words stand behind the shared ones, ``len(keys)`` of them."""
+    filters; ``left`` words stand behind the ``shared`` ones that equal keys stand for."""
     a = rows.select(*keys, F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
     b = rows.select(*keys, F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     needed = _least(t / (1 + t), F.col("n_a") + F.col("n_b"))
     return a.join(b, keys).where(
         (F.col("rep_a") < F.col("rep_b"))
         & (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
-        & (F.least("left_a", "left_b") + len(keys) >= needed)).select("rep_a", "rep_b")
+        & (F.least("left_a", "left_b") + shared >= needed)).select("rep_a", "rep_b")
 
 
 def candidate_pairs(sets: DataFrame, t: Fraction, hot: int = HOT) -> DataFrame:
-    """Distinct ``(rep_a, rep_b)`` that hold all pairs of similarity ``t`` or more."""
-    occ = sets.select("rep", F.explode("words").alias("word"))
+    """Distinct ``(rep_a, rep_b)`` that hold all pairs of similarity ``t`` or more; where
+    ``sets`` has ``bands``, all of these that also agree in a band.  Words are shuffled
+    as hashes, one to a row: equal hashes of different words only add candidates."""
+    banded = "bands" in sets.columns
+    occ = sets.select("rep", F.explode(F.transform("words", lambda x: F.xxhash64(x))).alias("x"))
     # stored, so that adaptive execution can split the rows of a frequent word
-    freq = _stored(occ.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word-frequencies")
-    ranked = occ.join(freq, "word").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    freq = _stored(occ.groupBy("x").agg(F.count(F.lit(1)).alias("df")), "word-frequencies")
+    ranked = occ.join(freq, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("w"))
     n = F.size("w")
-    s = _stored(ranked.select("rep", n.alias("n"), (n - _least(t, n) + 1).alias("p"), F.transform("w", lambda x: x["word"]).alias("w")), "ordered-sets")
-    prefix = s.select("rep", "n", "p", "w", F.posexplode(F.slice("w", F.lit(1), F.col("p"))).alias("i", "x"))
+    s = _stored(ranked.select("rep", n.alias("n"), (n - _least(t, n) + 1).alias("p"), F.transform("w", lambda x: x["x"]).alias("w")), "ordered-sets")
+    prefix = s.select("rep", "n", F.posexplode(F.slice("w", F.lit(1), F.col("p"))).alias("i", "x"))
     counts = _stored(prefix.groupBy("x").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1), "prefix-words")
-    prefix = prefix.join(counts, "x")
-    left = F.col("n") - F.col("i") - 1
-    single = prefix.select("x", "rep", "n", left.alias("left"), "sets")
-    cold = _joined(single.where(F.col("sets") <= hot), ["x"], t)
+    single = _stored(prefix.join(counts, "x").select("x", "rep", "n", "i", (F.col("n") - F.col("i") - 1).alias("left"), "sets"), "prefixes")
+    cold = _joined(single.where(F.col("sets") <= hot), ["x"], 1, t)
+    # a set's hot places come back to it as one row: no row of a word carries the other words
+    many = single.where(F.col("sets") > hot)
+    at = many.groupBy("rep").agg(F.collect_list("i").alias("at"))
+    if banded:
+        of = at.join(s, "rep").join(sets.select("rep", "bands"), "rep").select("rep", "n", "w", "bands", F.explode("at").alias("i"))
+        of = of.select("rep", "n", (F.col("n") - F.col("i") - 1).alias("left"), F.col("w")[F.col("i")].alias("x"), F.posexplode("bands").alias("band", "key"))
+        return cold.union(_joined(of, ["x", "band", "key"], 1, t)).distinct()
     # of a hot word: sets that need only this word, and words behind it for the others
     both = int((1 + t) / t)
-    tiny = single.where((F.col("sets") > hot) & (F.col("n") < both))
+    tiny = many.where(F.col("n") < both)
     a = tiny.select("x", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
     b = tiny.select("x", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
     needed = _least(t / (1 + t), F.col("n_a") + F.col("n_b"))
     one = a.join(b, "x").where((F.col("rep_a") < F.col("rep_b")) & (needed <= 1)).select("rep_a", "rep_b")
-    more = prefix.where(F.col("sets") > hot).select("x", "rep", "n", "i", F.posexplode(F.slice("w", F.col("i") + 2, F.col("p") - F.col("i"))).alias("j", "y"))
-    two = _joined(more.select("x", "y", "rep", "n", (F.col("n") - F.col("i") - F.col("j") - 2).alias("left")), ["x", "y"], t)
+    more = at.join(s, "rep").select("rep", "n", "p", "w", F.explode("at").alias("i"))
+    more = more.select("rep", "n", "i", F.col("w")[F.col("i")].alias("x"), F.posexplode(F.slice("w", F.col("i") + 2, F.col("p") - F.col("i"))).alias("j", "y"))
+    two = _joined(more.select("x", "y", "rep", "n", (F.col("n") - F.col("i") - F.col("j") - 2).alias("left")), ["x", "y"], 2, t)
     return cold.union(one).union(two).distinct()
 
 
+def _numbered(sets: DataFrame, *more: str) -> DataFrame:
+    """``sets``, stored, each with a number of its own: ids may repeat."""
+    return _stored(sets.select(F.monotonically_increasing_id().alias("set"), "rep", "members", "words", *more), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("rep").alias("rep_a"), F.col("members").alias("members_a"), F.col("words").alias("_a"))
-    b = sets.select(F.col("rep").alias("rep_b"), F.col("members").alias("members_b"), F.col("words").alias("_b"))
-    j = pairs.join(a, "rep_a").join(b, "rep_b").withColumn("shared", F.size(F.array_intersect("_a", "_b")))
-    return j.select("rep_a", "rep_b", "shared", (F.size("_a") + F.size("_b") - F.col("shared")).alias("all"), "members_a", "members_b")
+    a = sets.select(F.col("set").alias("rep_a"), F.struct("rep", "members", "words").alias("_a"))
+    b = sets.select(F.col("set").alias("rep_b"), F.struct("rep", "members", "words").alias("_b"))
+    j = pairs.join(a, "rep_a").join(b, "rep_b").where("_a.rep <> _b.rep")
+    j = j.withColumn("shared", F.size(F.array_intersect("_a.words", "_b.words")))
+    j = j.withColumn("all", F.size("_a.words") + F.size("_b.words") - F.col("shared"))
+    # numbers do not follow the ids
+    turned = F.col("_a.rep") > F.col("_b.rep")
+    first, second = F.when(turned, F.col("_b")).otherwise(F.col("_a")), F.when(turned, F.col("_a")).otherwise(F.col("_b"))
+    return j.select(first["rep"].alias("rep_a"), second["rep"].alias("rep_b"), "shared", "all",
+                    first["members"].alias("members_a"), second["members"].alias("members_b"))
 
 
 def set_similarity_pairs(sets: DataFrame, min_jaccard: float = 0.5, hot: int = HOT) -> DataFrame:
     """Every pair of ``sets(rep, members, words)`` with Jaccard similarity of at least
     ``min_jaccard`` (over 0): ``(rep_a, rep_b, jaccard, members_a, members_b)``."""
     t = Fraction(str(min_jaccard))
-    sets = _stored(sets.select("rep", "members", "words"), "sets")
-    v = _verified(_stored(candidate_pairs(sets, t, hot), "candidates"), sets)
+    sets = _numbered(sets)
+    pairs = candidate_pairs(sets.select(F.col("set").alias("rep"), "words"), t, hot)
+    v = _verified(_stored(pairs, "candidates"), sets)
     return v.where(F.col("shared") * t.denominator >= F.col("all") * t.numerator) \
         .select("rep_a", "rep_b", (F.col("shared") / F.col("all")).alias("jaccard"), "members_a", "members_b")
 
 
-def lsh_pairs(sets: DataFrame, max_distance: float = 0.5, bands: int = 10, rows: int = 2) -> DataFrame:
+def agreeing_pairs(sets: DataFrame, max_distance: float, hot: int = HOT) -> DataFrame:
+    """Pairs of ``sets(rep, members, words, bands)`` closer than ``max_distance`` (Jaccard
+    distance) that have the same value at a place of ``bands``.  Of sets that agree in a
+    band only those meet that share a word of their prefixes as well: every closer pair does."""
+    t = max(1 - Fraction(str(max_distance)), Fraction(1, 10**6))
+    sets = _numbered(sets, "bands")
+    pairs = _stored(candidate_pairs(sets.select(F.col("set").alias("rep"), "words", "bands"), t, hot), "candidates")
+    a = sets.select(F.col("set").alias("rep_a"), F.col("bands").alias("_a"))
+    b = sets.select(F.col("set").alias("rep_b"), F.col("bands").alias("_b"))
+    same = F.exists(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x)
+    v = _verified(_stored(pairs.join(a, "rep_a").join(b, "rep_b").where(same).select("rep_a", "rep_b"), "agreeing"), sets)
+    distance = F.lit(1.0) - F.col("shared") / F.col("all")
+    return v.select("rep_a", "rep_b", distance.alias("jaccard_distance"), "members_a", "members_b").where(F.col("jaccard_distance") < max_distance)
+
+
+def lsh_pairs(sets: DataFrame, max_distance: float = 0.5, bands: int = 10, rows: int = 2, hot: int = HOT) -> DataFrame:
     """Pairs of ``sets`` closer than ``max_distance`` (Jaccard distance) that agree in a
     band: ``(rep_a, rep_b, jaccard_distance, members_a, members_b)``."""
-    sets = _stored(sets.select("rep", "members", "words"), "sets")
-
     def least(i):
         return F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(i))))
 
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), *[least(b * rows + r).alias(f"h{r}") for r in range(rows)]) for b in range(bands)])
-    by = _stored(sets.select("rep", F.explode(keys).alias("key")), "bands")
-    pairs = by.select("key", F.col("rep").alias("rep_a")).join(by.select("key", F.col("rep").alias("rep_b")), "key") \
-        .where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b").distinct()
-    v = _verified(pairs, sets)
-    distance = F.lit(1.0) - F.col("shared") / F.col("all")
-    return v.select("rep_a", "rep_b", distance.alias("jaccard_distance"), "members_a", "members_b").where(F.col("jaccard_distance") < max_distance)
+    keys = F.array(*[F.struct(*[least(b * rows + r).alias(f"h{r}") for r in range(rows)]) for b in range(bands)])
+    return agreeing_pairs(sets.select("rep", "members", "words", keys.alias("bands")), max_distance, hot)
