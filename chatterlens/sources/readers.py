@@ -6,6 +6,12 @@ file is parsed on the driver.
 
 from __future__ import annotations
 
+import uuid
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,11 +115,51 @@ def read_labelled_dir(spark: SparkSession, path: str) -> DataFrame:
                     F.col("value").alias("text"))
 
 
+#: Folders of a label, so that none holds all of its files and their listing is dealt to tasks.
+FOLDERS = 64
+
+
+def _write_texts(root: str):
+    """Writes sorted ``(folder, name, text)`` rows, a file for all rows of a name.  A file
+    is moved to its name when whole, so a task that runs twice leaves the same files."""
+    def write(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        made, n = set(), 0
+        rows = (row for x in batches for row in zip(*(c.to_pylist() for c in x.columns)))
+        for (folder, name), texts in groupby(rows, key=itemgetter(0, 1)):
+            at = f"{base}/{folder}"
+            if at not in made:
+                files.create_dir(at, recursive=True)
+                made.add(at)
+            own = f"{at}/.{name}-{uuid.uuid4().hex[:12]}"
+            with files.open_output_stream(own) as out:
+                for _, _, text in texts:
+                    out.write((text or "").encode() + b"\n")
+            files.move(own, f"{at}/{name}.txt")
+            n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], ["files"])
+    return write
+
+
 def write_labelled_dir(df: DataFrame, path: str) -> None:
-    """Stage ``(doc_id, label, text)`` as one text file per document."""
+    """Stage ``(doc_id, label, text)`` as one text file per document.  In a folder of the
+    machines' own file system the tasks write the files themselves: Spark's writer makes
+    a folder for each document, whose files the driver then moves one by one."""
     d = df.select(F.when(F.col("label") == 1, "pos").otherwise("neg").alias("label"),
                   F.col("doc_id").alias("doc"), "text")
-    d.repartition("doc").write.mode("overwrite").partitionBy("label", "doc").text(path)
+    hpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file":
+        d.repartition("doc").write.mode("overwrite").partitionBy("label", "doc").text(path)
+        return
+    root = store.makeQualified(hpath).toUri().getPath()
+    files, base = fs.FileSystem.from_uri(root)
+    files.create_dir(base, recursive=True)
+    files.delete_dir_contents(base)
+    name = F.concat(F.lit("doc="), F.coalesce(F.col("doc").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    folder = F.concat(F.lit("label="), "label", F.lit("/part="), F.pmod(F.xxhash64("doc"), F.lit(FOLDERS)).cast("string"))
+    rows = d.repartition("doc").select(folder.alias("folder"), name.alias("name"), "text").sortWithinPartitions("folder", "name")
+    rows.mapInArrow(_write_texts(root), "files long").agg(F.sum("files")).collect()
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], spread: str, parts: int | None = None) -> None:

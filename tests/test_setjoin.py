@@ -74,3 +74,30 @@ def test_recall_of_the_bands(spark):
 def test_words_that_repeat_in_no_set(spark):
     df = spark.createDataFrame([(f"p{i}", 1, [f"a{i}", f"b{i}"]) for i in range(50)], KIND).withColumn("df", F.lit(1))
     assert setjoin.set_similarity_pairs(df, 0.5).collect() == []
+
+
+def test_long_sets_agree_in_bands_without_meeting(spark):
+    """Sets with a common half agree in a band, but no two of them are close: few meet."""
+    from fractions import Fraction
+    common = [f"c{i}" for i in range(12)]
+    rows = [(f"p{i:03}", 1, common + [f"a{i}x{j}" for j in range(14)]) for i in range(150)] + [("q", 1, common + [f"a3x{j}" for j in range(13)])]
+    df = spark.createDataFrame(rows, KIND)
+    bands = df.withColumn("bands", F.array(*[F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(i)))) for i in range(6)]))
+    assert setjoin.candidate_pairs(bands, Fraction(1, 2), hot=20).count() < 150 < bands.alias("a").join(
+        bands.alias("b"), F.expr("a.rep < b.rep AND a.bands[0] = b.bands[0]")).count()
+    assert {(r.rep_a, r.rep_b) for r in setjoin.lsh_pairs(df, 0.5, hot=20).collect()} == {("p003", "q")}
+
+
+@pytest.mark.parametrize("hot", [200, 5])
+def test_bands_give_what_meeting_on_them_alone_gives(spark, hot):
+    rows = sets_of(260, 4)
+    df = spark.createDataFrame(rows, KIND).withColumn("bands", F.array(*[F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(i)))) for i in range(2)]))
+    band = {r.rep: r.bands for r in df.collect()}
+    want = {k for k in brute(rows, 1, 2) if any(x == y for x, y in zip(band[k[0]], band[k[1]]))}
+    want = {k for k in want if brute([r for r in rows if r[0] in k], 1, 2)[k][0] > 0.5}
+    assert len(want) > 20 and {(r.rep_a, r.rep_b) for r in setjoin.agreeing_pairs(df, 0.5, hot).collect()} == want
+
+
+def test_sets_of_one_id(spark):
+    df = spark.createDataFrame([("p", 1, ["a", "b"]), ("p", 1, ["x", "y"]), ("q", 1, ["x", "y", "z"])], KIND)
+    assert [tuple(r)[:2] for r in setjoin.set_similarity_pairs(df, 0.5).collect()] == [("p", "q")]
