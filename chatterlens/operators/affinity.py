@@ -14,9 +14,10 @@ columns as sums (a small square matrix, the only thing that the driver gets), ma
 columns orthonormal, until what the affinity does to the block no longer changes.
 k-means on the vectors, scaled to length one for each author, gives the clusters.
 
-Hot words and hot authors: both products are sums that tasks make before the shuffle,
-and the (author, word) table and each round's vectors are stored before they are joined,
-so adaptive execution can split the rows of a hot key.
+A product costs one shuffle of sums by author.  The (author, word) table is dealt and
+sorted by word once, under numbers for names, and keeps that layout in its checkpoint, so
+a round's sums by word and their way back to the authors stay where the words lie; a word
+has at most one row for each author.  The products of the columns come with the write.
 
 Defined cases: null authors and null or empty token lists take no part; authors without
 a shared word form no links and get a null cluster; an empty table gives no row.
@@ -27,10 +28,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 
 #: Relative change of the block's image at which the iteration has converged.
 TOLERANCE = 1e-4
@@ -54,29 +55,47 @@ def author_words(tok: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return _stored(w.join(rows, "author").select("author", "word", (F.col("x") / F.sqrt(F.col("total") * F.col("sum"))).alias("w")), "affinity")
 
 
-def _sums(k: int, value: str = "y") -> Column:
-    return F.array(*(F.sum(F.col("w") * F.col(value)[i]) for i in range(k)))
+def _sums(k: int) -> Column:
+    # one SQL text: a Column for each number costs a round more than its jobs do
+    return F.expr(f"array({', '.join(f'sum(w * y[{i}])' for i in range(k))})")
 
 
 def _multiplied(edges: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """The affinity matrix times ``block(author, y)``."""
-    words = _stored(edges.join(block, "author").groupBy("word").agg(_sums(k).alias("y")), "word-block")
-    return _stored(edges.join(words, "word").groupBy("author").agg(_sums(k).alias("y")), "author-block")
+    """The affinity matrix times ``block(a, y)``."""
+    words = edges.join(block, "a").groupBy("b").agg(_sums(k).alias("y"))
+    return edges.join(words, "b").groupBy("a").agg(_sums(k).alias("y"))
 
 
-def _products(block: DataFrame, k: int) -> np.ndarray:
-    """Products of all pairs of columns: k x k sums."""
-    at = [(i, j) for i in range(k) for j in range(i + 1)]
-    row = block.agg(*(F.sum(F.col("y")[i] * F.col("y")[j]) for i, j in at)).first()
+def _block(rows: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """``rows(a, y)`` stored, and the products of all pairs of columns: k x k sums."""
+    at, seen = [(i, j) for i in range(k) for j in range(i + 1)], Observation()
+    block = _stored(rows.observe(seen, *(F.expr(f"sum(y[{i}] * y[{j}]) AS `{i}_{j}`") for i, j in at)), "author-block")
     out = np.zeros((k, k))
-    for (i, j), v in zip(at, row):
-        out[i, j] = out[j, i] = v or 0.0
-    return out
+    for i, j in at:
+        out[i, j] = out[j, i] = seen.get[f"{i}_{j}"] or 0.0
+    return block, out
+
+
+def _numbered(edges: DataFrame, name: str, number: str) -> DataFrame:
+    return _stored(edges.select(name).distinct().withColumn(number, F.monotonically_increasing_id()), f"{name}-numbers")
 
 
 def _times(m: np.ndarray) -> Column:
     """Column ``y`` (a row vector) times a small matrix."""
-    return F.array(*(sum((F.col("y")[i] * float(m[i, j]) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])))
+    column = lambda j: " + ".join(f"y[{i}] * ({float(m[i, j])!r}D)" for i in range(m.shape[0]))
+    return F.expr(f"array({', '.join(column(j) for j in range(m.shape[1]))})")
+
+
+def _dealt(edges: DataFrame) -> DataFrame:
+    """``edges`` in a checkpoint that is dealt and sorted by word.  A plan tells its layout
+    only where adaptive execution does not change it."""
+    conf = edges.sparkSession.conf
+    tasks, adaptive = int(conf.get("spark.sql.shuffle.partitions")), conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(edges.repartition(tasks, "b").sortWithinPartitions("b"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def leading_vectors(edges: DataFrame, k: int, extra: int = 3, seed: int = 42) -> tuple[DataFrame, list[float]]:
@@ -85,23 +104,25 @@ def leading_vectors(edges: DataFrame, k: int, extra: int = 3, seed: int = 42) ->
     size = k + extra
     # the start depends on the author's name alone, so on no partitioning
     start = F.array(*(F.pmod(F.xxhash64("author", F.lit(seed + i)), F.lit(2001)) / 1000.0 - 1.0 for i in range(size)))
-    block = _stored(edges.select("author").distinct().withColumn("y", start), "author-block")
+    authors, words = _numbered(edges, "author", "a"), _numbered(edges, "word", "b")
+    edges = _dealt(_stored(edges.join(authors, "author").join(words, "word").select("a", "b", "w"), "numbered"))
+    block, gram = _block(authors.select("a", start.alias("y")), size)
     before = None
     while True:
         # the columns made orthonormal; a direction without length falls out
-        values, turn = np.linalg.eigh(_products(block, size))
+        values, turn = np.linalg.eigh(gram)
         keep = values > 1e-12 * max(values[-1], 1e-300)
         block = block.withColumn("y", _times(turn[:, keep] / np.sqrt(values[keep])))
         size = int(keep.sum())
-        block = _multiplied(edges, block, size)
-        gram = _products(block, size)
+        block, gram = _block(_multiplied(edges, block, size), size)
         now = np.sort(np.sqrt(np.maximum(np.linalg.eigvalsh(gram), 0)))[::-1][:k]
         if before is not None and len(now) == len(before) and np.abs(now - before).max() <= TOLERANCE * now[0]:
             break
         before = now
     values, turn = np.linalg.eigh(gram)
     order = [i for i in np.argsort(values)[::-1][:k] if values[i] > 1e-12 * values.max()]
-    return _stored(block.withColumn("y", _times(turn[:, order] / np.sqrt(values[order]))), "vectors"), np.sqrt(values[order]).tolist()
+    turned = block.join(authors, "a").select("author", _times(turn[:, order] / np.sqrt(values[order])).alias("y"))
+    return _stored(turned, "vectors"), np.sqrt(values[order]).tolist()
 
 
 def author_clusters(tok: DataFrame, k: int = 4, seed: int = 42, tokens_col: str = "tokens") -> DataFrame:

@@ -77,3 +77,14 @@ def test_no_pair_of_authors_is_made(spark, monkeypatch):
     monkeypatch.setattr(A, "_stored", lambda df, name: seen.append(df.columns) or real(df, name))
     A.author_clusters(spark.createDataFrame(planted()[0], TOKENS), 3).collect()
     assert all(sum("author" in c for c in cols) <= 1 for cols in seen)
+
+
+def test_a_round_shuffles_sums_by_author_alone(spark, monkeypatch):
+    rounds, real = [], A._multiplied
+    monkeypatch.setattr(A, "_multiplied", lambda edges, *rest: rounds.append((edges, real(edges, *rest))) or rounds[-1][1])
+    A.leading_vectors(A.author_words(spark.createDataFrame(planted()[0], TOKENS)), 3)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    for edges, df in rounds:
+        assert edges.columns == ["a", "b", "w"]
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(a#" in text
