@@ -236,3 +236,15 @@ def test_repeated_sample_mean_invariants(spark):
     rows = E.queries()["repeated_sample_mean"](spark, SF0001).collect()
     assert len(rows) == 20 and all(r.n == 50 for r in rows)
     assert rows[0].mean_of_means == pytest.approx(sum(r.sample_mean for r in rows) / 20, abs=1e-6)
+
+
+def test_a_text_is_cleaned_as_a_whole(spark):
+    texts = [None, "", " . . ", "Zoo. Z Z! z", "x.Z y", "a.\nb\nc  d. e", "İi K. ΣΑΣ. ſs ünï", "a.\x01 b", "..! ?", "end.", "don't. 12 3."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.transform(F.split("t", T.SENT_RE), lambda s: F.filter(F.transform(F.split(s, " "), T.clean_word), lambda w: w != ""))
+    old = F.coalesce(old, F.array().cast("array<array<string>>"))
+    out = T.tokenize("t", [])
+    assert df.select(old.eqNullSafe(out).alias("same")).distinct().collect() == [(True,)]
+    # no regular expression runs for each word
+    plan = df.select(out)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan.split("filter(", 1)[1].split("lambdafunction", 1)[0]

@@ -135,3 +135,16 @@ def test_equal_words_meet_their_cluster_once(spark):
     assert {tuple(x) for x in counts.collect()} == {("p1", 2, 1, 1), ("p2", 0, 0, 3), ("p3", 0, 0, 0)}
     for df in (lab, counts):  # counted or gathered by post and word below the join
         assert "Aggregate [id" in plan(df) and ", word" in plan(df).split("Join Inner")[1]
+
+
+def test_sentences_are_stored_for_all_passes_of_word2vec(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    tok = spark.createDataFrame([(f"p{i}", [["aa", "bb"], ["cc", "aa"]]) for i in range(12)], KIND)
+    _, vecs = V.train_word2vec(tok.withColumn("tokens", F.udf(counted, "array<array<string>>").asNondeterministic()("tokens")), size=3, min_count=1, epochs=2)
+    assert {r.word: len(r.vector) for r in vecs.collect()} == {"aa": 3, "bb": 3, "cc": 3}
+    assert seen.value == 12
