@@ -1,19 +1,19 @@
 """Exact and approximate similarity joins of word sets.
 
 ``set_similarity_pairs`` is exact.  Words are ordered from the rarest to the most
-frequent.  Two sets of Jaccard similarity t or more share a word within the first
-``n - ceil(t n) + 1`` words of each (the prefix), so only rows that share a prefix
-word meet; sizes must be within the factor t, and what can still be shared behind
-the two places must be enough.  Rare words make small groups.  A prefix word of more
-than ``HOT`` sets is split by a second one: sets that must share two words share the
-first two of them within a prefix longer by one, so rows of a hot word carry both;
-sets so small that one shared word is enough meet on it alone, and each such pair is
-a result.  Pairs that are left are verified on the words themselves.
+frequent.  Two sets of Jaccard similarity t or more share at least
+``ceil(t / (1 + t) * (n_a + n_b))`` words, so many of them lie within the first words of
+each (the prefix), and sizes must be within the factor t.  Sets are laid in blocks by
+size; a task gets the prefixes of two blocks whose sizes can match, as arrays of
+hashes, and counts for all their pairs the prefix words that both hold.  Only pairs
+with as many as they must have leave the task, each once, to be verified on the words
+themselves; no pair is written for a word alone, however frequent it is.  A task's
+memory is bounded by the words of a block.
 
 ``lsh_pairs`` is approximate: it finds the sets that agree on all ``rows`` minimum hashes
 of a band, never on one hash.  Its recall is measured against the exact join in the tests
 (1 - (1 - s^rows)^bands for similarity s).  Long texts of one language agree in a band
-without being close, so sets meet on a prefix word, a hot one split by the bands.
+without being close, so sets meet on their prefixes, and the bands are compared then.
 
 Both work on distinct sets (:func:`distinct_sets`), so copies of a text are one row
 with a member count and never pairs.  Empty sets take no part.
@@ -23,13 +23,18 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-#: Sets that share a prefix word before it is split by a second one.
-HOT = 200
+#: Sets of a block at least, blocks of a table, and prefix words of a block at most.
+HOT, BLOCKS, BLOCK_WORDS = 200, 24, 6_000_000
+#: Pairs that a task counts at a time, and shared words at a time.
+CELLS, MEETINGS = 1 << 20, 1 << 22
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,51 +59,120 @@ def _least(t: Fraction, n) -> Column:
     return F.floor((F.lit(t.numerator) * n + F.lit(t.denominator - 1)) / F.lit(t.denominator)).cast("int")
 
 
-def _joined(rows: DataFrame, keys: list[str], shared: int, t: Fraction) -> DataFrame:
-    """Pairs of rows ``(keys, rep, n, left)`` of equal keys that pass the size and place
-    filters; ``left`` words stand behind the ``shared`` ones that equal keys stand for."""
-    a = rows.select(*keys, F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
-    b = rows.select(*keys, F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
-    needed = _least(t / (1 + t), F.col("n_a") + F.col("n_b"))
-    return a.join(b, keys).where(
-        (F.col("rep_a") < F.col("rep_b"))
-        & (F.col("n_a") * t.denominator >= F.col("n_b") * t.numerator) & (F.col("n_b") * t.denominator >= F.col("n_a") * t.numerator)
-        & (F.least("left_a", "left_b") + shared >= needed)).select("rep_a", "rep_b")
+def _ceil(num, n, den):
+    return -(-num * n // den)
+
+
+def _spare(n):
+    """Words by which a prefix is longer than one shared word needs: as many more must be shared."""
+    return n // 10
+
+
+def _blocks(sizes: list[tuple[int, int]], t: Fraction, hot: int) -> list[tuple[int, int, int]]:
+    """``(lo, hi, parts)``: ranges of set sizes from ``(size, sets)`` in ascending order, of
+    about equally many prefix words; a size with more than that is dealt over ``parts`` blocks."""
+    words = [(n, count * (n - _ceil(t.numerator, n, t.denominator) + 1 + _spare(n))) for n, count in sizes]
+    total, sets = sum(w for _, w in words), sum(count for _, count in sizes)
+    most = min(BLOCK_WORDS, max(total / BLOCKS, hot * total / max(sets, 1)))
+    out, held = [], 0
+    for n, w in words:
+        if w > most:
+            out.append((n, n, int(w // most) + 1))
+            held = most
+        elif not out or held + w > most:
+            out.append((n, n, 1))
+            held = w
+        else:
+            out[-1] = (out[-1][0], n, 1)
+            held += w
+    return out
+
+
+def _meet(a: dict, b: dict, same: bool, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers ``(of a, of b)`` of the pairs whose prefixes share what similarity ``t``
+    takes; of a block and itself each pair once."""
+    num, den = t.numerator, t.denominator
+    rows, width = len(a["n"]), len(b["n"])
+    order = np.argsort(b["w"], kind="stable")
+    owner = np.repeat(np.arange(width), b["q"])[order]
+    words, first, count = np.unique(b["w"][order], return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(words, a["w"]), len(words) - 1)
+    known = words[at] == a["w"]
+    row, first, count = np.repeat(np.arange(rows), a["q"])[known], first[at[known]], count[at[known]]
+    ends = np.cumsum(count)
+    begin = np.searchsorted(row, np.arange(rows + 1))
+    # a set's words that are not in its prefix
+    left_a, left_b = a["n"] - a["q"], b["n"] - b["q"]
+    found_a, found_b = [], []
+    step = max(1, CELLS // width)
+    for lo in range(0, rows, step):
+        hi = min(rows, lo + step)
+        shared, i = np.zeros((hi - lo) * width, np.int64), begin[lo]
+        while i < begin[hi]:
+            j = min(begin[hi], max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + MEETINGS, "right"))))
+            c = count[i:j]
+            place = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - first[i:j], c)
+            shared += np.bincount(owner[place] + np.repeat((row[i:j] - lo) * width, c), minlength=len(shared))
+            i = j
+        cell = np.flatnonzero(shared >= min(a["least"][lo:hi].min(), b["least"].min()))
+        x, y = cell // width + lo, cell % width
+        n_a, n_b = a["n"][x], b["n"][y]
+        ok = (n_a * den >= n_b * num) & (n_b * den >= n_a * num)
+        ok &= shared[cell] >= _ceil(num, n_a + n_b, num + den) - np.maximum(left_a[x], left_b[y])
+        if same:
+            ok &= x < y
+        found_a.append(x[ok])
+        found_b.append(y[ok])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _met(t: Fraction):
+    """The function of one pair of blocks: rows ``(side, same, rep, n, least, w)`` to pairs."""
+    def pairs(rows: pa.Table) -> pa.Table:
+        def of(x: pa.Table) -> dict:
+            w = x["w"].combine_chunks()
+            return {"n": x["n"].to_numpy().astype(np.int64), "least": x["least"].to_numpy(), "q": pc.list_value_length(w).to_numpy(), "w": w.flatten().to_numpy()}
+
+        a = rows.filter(pc.equal(rows["side"], 0))
+        same = len(a) > 0 and a["same"][0].as_py()
+        b = a if same else rows.filter(pc.equal(rows["side"], 1))
+        if not len(a) or not len(b):
+            return pa.table({"rep_a": rows["rep"][:0], "rep_b": rows["rep"][:0]})
+        x, y = _meet(of(a), of(b), same, t)
+        return pa.table({"rep_a": a["rep"].take(pa.array(x)), "rep_b": b["rep"].take(pa.array(y))})
+
+    return pairs
 
 
 def candidate_pairs(sets: DataFrame, t: Fraction, hot: int = HOT) -> DataFrame:
-    """Distinct ``(rep_a, rep_b)`` that hold all pairs of similarity ``t`` or more; where
-    ``sets`` has ``bands``, all of these that also agree in a band.  Words are shuffled
-    as hashes, one to a row: equal hashes of different words only add candidates."""
-    banded = "bands" in sets.columns
-    occ = sets.select("rep", F.explode(F.transform("words", lambda x: F.xxhash64(x))).alias("x"))
+    """Distinct ``(rep_a, rep_b)`` that hold all pairs of similarity ``t`` or more of ``sets(rep,
+    words)``.  Words travel as hashes: equal hashes of different words only add candidates.
+    Blocks have ``hot`` sets or more."""
+    spark, num, den = sets.sparkSession, t.numerator, t.denominator
+    occ = sets.select("rep", F.explode(F.transform("words", lambda x: F.hash(x))).alias("x"))
     # stored, so that adaptive execution can split the rows of a frequent word
     freq = _stored(occ.groupBy("x").agg(F.count(F.lit(1)).alias("df")), "word-frequencies")
     ranked = occ.join(freq, "x").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("w"))
-    n = F.size("w")
-    s = _stored(ranked.select("rep", n.alias("n"), (n - _least(t, n) + 1).alias("p"), F.transform("w", lambda x: x["x"]).alias("w")), "ordered-sets")
-    prefix = s.select("rep", "n", F.posexplode(F.slice("w", F.lit(1), F.col("p"))).alias("i", "x"))
-    counts = _stored(prefix.groupBy("x").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1), "prefix-words")
-    single = _stored(prefix.join(counts, "x").select("x", "rep", "n", "i", (F.col("n") - F.col("i") - 1).alias("left"), "sets"), "prefixes")
-    cold = _joined(single.where(F.col("sets") <= hot), ["x"], 1, t)
-    # a set's hot places come back to it as one row: no row of a word carries the other words
-    many = single.where(F.col("sets") > hot)
-    at = many.groupBy("rep").agg(F.collect_list("i").alias("at"))
-    if banded:
-        of = at.join(s, "rep").join(sets.select("rep", "bands"), "rep").select("rep", "n", "w", "bands", F.explode("at").alias("i"))
-        of = of.select("rep", "n", (F.col("n") - F.col("i") - 1).alias("left"), F.col("w")[F.col("i")].alias("x"), F.posexplode("bands").alias("band", "key"))
-        return cold.union(_joined(of, ["x", "band", "key"], 1, t)).distinct()
-    # of a hot word: sets that need only this word, and words behind it for the others
-    both = int((1 + t) / t)
-    tiny = many.where(F.col("n") < both)
-    a = tiny.select("x", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
-    b = tiny.select("x", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
-    needed = _least(t / (1 + t), F.col("n_a") + F.col("n_b"))
-    one = a.join(b, "x").where((F.col("rep_a") < F.col("rep_b")) & (needed <= 1)).select("rep_a", "rep_b")
-    more = at.join(s, "rep").select("rep", "n", "p", "w", F.explode("at").alias("i"))
-    more = more.select("rep", "n", "i", F.col("w")[F.col("i")].alias("x"), F.posexplode(F.slice("w", F.col("i") + 2, F.col("p") - F.col("i"))).alias("j", "y"))
-    two = _joined(more.select("x", "y", "rep", "n", (F.col("n") - F.col("i") - F.col("j") - 2).alias("left")), ["x", "y"], 2, t)
-    return cold.union(one).union(two).distinct()
+    s = _stored(ranked.select("rep", F.size("w").alias("n"), F.transform("w", lambda x: x["x"]).alias("w")), "ordered-sets")
+    # a row for each size of a set, then for each pair of blocks
+    sizes = [tuple(r) for r in s.groupBy("n").agg(F.count(F.lit(1))).orderBy("n").collect()]
+    ranges = _blocks(sizes, t, hot)
+    blocks = [(lo, hi) for lo, hi, parts in ranges for _ in range(parts)]
+    start = [sum(parts for _, _, parts in ranges[:k]) for k in range(len(ranges))]
+    of_size = [(n, start[k], parts) for k, (lo, hi, parts) in enumerate(ranges) for n, _ in sizes if lo <= n <= hi]
+    meet = [(i, j) for i in range(len(blocks)) for j in range(i + 1) if blocks[i][0] * num <= blocks[j][1] * den]
+    sides = [(x, k, side, i == j, *blocks[y]) for k, (i, j) in enumerate(meet) for side, x, y in ((0, i, j), (1, j, i)) if side == 0 or i != j]
+    of_size = spark.createDataFrame(of_size, "n int, start int, parts int")
+    sides = spark.createDataFrame(sides, "block int, pair int, side int, same boolean, lo int, hi int")
+    rows = s.join(F.broadcast(of_size), "n").withColumn("block", F.col("start") + F.pmod(F.hash("rep"), "parts")).join(F.broadcast(sides), "block")
+    rows = rows.where((F.col("lo") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("hi") * den))
+    needed = _least(t / (1 + t), F.col("n") + F.greatest("lo", _least(t, F.col("n"))))
+    rows = rows.withColumn("needed", needed).withColumn("least", F.least("needed", F.expr("n div 10 + 1").cast("int")))
+    rows = rows.select("pair", "side", "same", "rep", "n", "least", F.slice("w", F.lit(1), F.col("n") - F.col("needed") + F.col("least")).alias("w"))
+    tasks = max(1, min(len(meet), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(blocks) * 4)))
+    kind = sets.schema["rep"].dataType.simpleString()
+    met = rows.repartition(tasks, "pair").groupBy("pair").applyInArrow(_met(t), f"rep_a {kind}, rep_b {kind}")
+    return met.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"))
 
 
 def _numbered(sets: DataFrame, *more: str) -> DataFrame:
@@ -132,11 +206,11 @@ def set_similarity_pairs(sets: DataFrame, min_jaccard: float = 0.5, hot: int = H
 
 def agreeing_pairs(sets: DataFrame, max_distance: float, hot: int = HOT) -> DataFrame:
     """Pairs of ``sets(rep, members, words, bands)`` closer than ``max_distance`` (Jaccard
-    distance) that have the same value at a place of ``bands``.  Of sets that agree in a
-    band only those meet that share a word of their prefixes as well: every closer pair does."""
+    distance) that have the same value at a place of ``bands``.  Sets meet on their prefixes,
+    as every closer pair does; the bands are compared then."""
     t = max(1 - Fraction(str(max_distance)), Fraction(1, 10**6))
     sets = _numbered(sets, "bands")
-    pairs = _stored(candidate_pairs(sets.select(F.col("set").alias("rep"), "words", "bands"), t, hot), "candidates")
+    pairs = _stored(candidate_pairs(sets.select(F.col("set").alias("rep"), "words"), t, hot), "candidates")
     a = sets.select(F.col("set").alias("rep_a"), F.col("bands").alias("_a"))
     b = sets.select(F.col("set").alias("rep_b"), F.col("bands").alias("_b"))
     same = F.exists(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x)

@@ -101,3 +101,28 @@ def test_bands_give_what_meeting_on_them_alone_gives(spark, hot):
 def test_sets_of_one_id(spark):
     df = spark.createDataFrame([("p", 1, ["a", "b"]), ("p", 1, ["x", "y"]), ("q", 1, ["x", "y", "z"])], KIND)
     assert [tuple(r)[:2] for r in setjoin.set_similarity_pairs(df, 0.5).collect()] == [("p", "q")]
+
+
+def test_words_in_common_are_counted_before_a_pair_is_written(spark):
+    """Sets that share two words of their prefixes, as most do here, are no candidates yet."""
+    from fractions import Fraction
+    rng = random.Random(5)
+    rows = [(f"p{i:03}", 1, sorted(rng.sample([f"a{j}" for j in range(150)], 20) + rng.sample([f"b{j}" for j in range(25)], 20))) for i in range(300)]
+    rows += [(f"q{i:03}", 1, sorted({*r[2][1:], f"c{i}"})) for i, r in enumerate(rows[:10])]
+    df = spark.createDataFrame(rows, KIND)
+    assert setjoin.candidate_pairs(df, Fraction(1, 2), hot=20).count() < 6000
+    assert {(r.rep_a, r.rep_b) for r in setjoin.set_similarity_pairs(df, 0.5, 20).collect()} == set(brute(rows, 1, 2)) != set()
+
+
+def test_blocks_and_counting_in_pieces(monkeypatch):
+    import numpy as np
+    from fractions import Fraction
+    t = Fraction(1, 2)
+    assert [b[2] > 1 for b in setjoin._blocks([(4, 10), (9, 5000), (12, 10)], t, 1)] == [False, True, False]
+    monkeypatch.setattr(setjoin, "CELLS", 100)
+    monkeypatch.setattr(setjoin, "MEETINGS", 7)
+    sets = [sorted({hash(w) % 1000 for w in r[2]}) for r in sets_of(120, 6)]
+    side = {"n": np.array([len(x) for x in sets]), "q": np.array([len(x) for x in sets]), "least": np.ones(len(sets), int), "w": np.concatenate(sets)}
+    x, y = setjoin._meet(side, side, True, t)
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 2 * len({*a} & {*b}) >= len({*a} | {*b})}
+    assert set(zip(x.tolist(), y.tolist())) == want and len(x) == len(want) > 20
